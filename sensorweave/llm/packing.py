@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .token_files import text_batches
-from .tokens import END_ID, Encoder, default_vocabulary
+from .tokens import END_ID, default_vocabulary, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -147,16 +147,16 @@ def pack_documents(docs: DataFrame, costs: Costs = Costs(), vocabulary: str | No
     vocabulary = vocabulary or default_vocabulary()
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        coder = encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
-        packer = Packer(encoder.sentence_ends(), costs, TaskContext.get().partitionId() << 40)
+        packer = Packer(coder.sentence_ends(), costs, TaskContext.get().partitionId() << 40)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])
 
         for keys, texts in text_batches(batches):
             rows: list[tuple] = []
-            for key, ids in zip(keys, encoder.encode_many(texts), strict=True):
+            for key, ids in zip(keys, coder.encode_many(texts), strict=True):
                 rows.extend(packer.add(key, np.frombuffer(ids + end, "<u4")))
             if rows:
                 yield table(rows)

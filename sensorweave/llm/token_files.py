@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import shared_folder, written
-from .tokens import END_ID, Encoder, default_vocabulary
+from .tokens import END_ID, default_vocabulary, encoder
 
 #: Fixed values of the seekable zstandard format.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -144,8 +144,8 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
     def write(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        encoder = Encoder(vocabulary)
-        width = 2 if max(encoder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+        coder = encoder(vocabulary)
+        width = 2 if max(coder.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         end = np.array([end_id], "<u4").tobytes()
         part = TaskContext.get().partitionId()
         name = f"part-{part:06d}-{uuid.uuid4().hex}.tok.zst"
@@ -153,7 +153,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
         with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
             writer = TokenWriter(out, width)
             for keys, texts in text_batches(batches):
-                for key, ids in zip(keys, encoder.encode_many(texts), strict=True):
+                for key, ids in zip(keys, coder.encode_many(texts), strict=True):
                     got = np.frombuffer(ids + end, "<u4")
                     writer.add(key, got)
                     n_docs, n_ids = n_docs + 1, n_ids + len(got)

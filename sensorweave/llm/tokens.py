@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import os
 import re
+from functools import lru_cache
 
 import numpy as np
 
@@ -27,10 +28,21 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+class _Both(dict):
+    """What is new, over what was known."""
+
+    def __init__(self, new: dict, known: dict):
+        super().__init__(new)
+        self.known = known
+
+    def __missing__(self, key: str) -> bytes:
+        return self.known[key]
+
+
 class Encoder:
     """Texts to little-endian uint32 ids, with bounded memory of chunks."""
 
-    def __init__(self, vocabulary: str, limit: int = 600_000):
+    def __init__(self, vocabulary: str, limit: int = 900_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,24 +51,32 @@ class Encoder:
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.newline = self.tokenizer.token_to_id("Ċ")
+        self.marks = dict(zip(",.", self._library([",", "."]), strict=True))
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
-    def _learn(self, chunks: list[str]) -> None:
-        """Encode new chunks in one call: a newline between two of them is a token of its own."""
-        blank = [c for c in chunks if not c.strip()]
-        solid = [c for c in chunks if c.strip()]
-        self.known.update(zip(blank, self._library(blank), strict=True))
+    def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
+        """Ids of new chunks, which hold no newline but may be one.
+
+        A full stop or comma after a letter is a token of its own, so it is
+        split off; and a newline between two chunks is one, so all are encoded
+        in one call.
+        """
+        bases = {c[:-1] if c[-2:-1].isalpha() and c[-1] in ",." else c for c in chunks}
+        solid = [c for c in bases if c.strip()]
+        blank = [c for c in bases if not c.strip()]
+        found = dict(zip(blank, self._library(blank), strict=True))
         if solid:
             ids = np.frombuffer(self._library(["\n".join(solid)])[0], "<u4")
             cuts = np.flatnonzero(ids == self.newline)
-            if len(cuts) == len(solid) - 1:
-                found = [part.tobytes() for part in self._split(ids, cuts)]
-            else:
-                found = self._library(solid)
-            self.known.update(zip(solid, found, strict=True))
+            parts = [x.tobytes() for x in self._split(ids, cuts)] if len(cuts) == len(solid) - 1 else self._library(solid)
+            found.update(zip(solid, parts, strict=True))
+        for c in chunks:
+            if c not in found:
+                found[c] = found[c[:-1]] + self.marks[c[-1]]
+        return found
 
     @staticmethod
     def _split(ids: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
@@ -71,21 +91,23 @@ class Encoder:
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, without end ids."""
         cut: list[list[str] | None] = []
-        new: dict[str, None] = {}
+        new: set[str] = set()
+        known = self.known
         for text in texts:
             if _TOUCHING.search(text) or any(s in text for s in self.specials):
                 cut.append(None)
                 continue
             chunks = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split(_CUT)
             cut.append(chunks)
-            new.update(dict.fromkeys(c for c in chunks if c not in self.known))
+            new |= set(chunks).difference(known)
         if new:
-            if len(self.known) + len(new) > self.limit:
-                self.known = {}
-                new = dict.fromkeys(c for chunks in cut if chunks for c in chunks)
-            self._learn(list(new))
-        known = self.known.__getitem__
-        return [self._library([t])[0] if c is None else b"".join(map(known, c)) for t, c in zip(texts, cut, strict=True)]
+            found = self._encoded(new)
+            if len(known) < self.limit:
+                known.update(found)
+            else:
+                known = _Both(found, known)
+        ids = known.__getitem__
+        return [self._library([t])[0] if c is None else b"".join(map(ids, c)) for t, c in zip(texts, cut, strict=True)]
 
     def sentence_ends(self) -> np.ndarray:
         """For every id, whether its text ends a sentence or a line."""
@@ -95,3 +117,9 @@ class Encoder:
             piece = self.tokenizer.decode([i], skip_special_tokens=False)
             ends[i] = piece.rstrip(" \"')")[-1:] in (".", "!", "?", "\n", "。") if piece else False
         return ends
+
+
+@lru_cache(maxsize=2)
+def encoder(vocabulary: str) -> Encoder:
+    """The encoder of this worker process, which keeps its chunks from task to task."""
+    return Encoder(vocabulary)

@@ -76,8 +76,6 @@ def shingle_set(hashes: np.ndarray, k: int) -> np.ndarray:
     if not len(hashes):
         return np.empty(0, np.uint64)
     if len(hashes) < k:
-        total = np.uint64(len(hashes))
-        for i, h in enumerate(hashes):
-            total = total + h * np.uint64(_MULTIPLIERS[i] ^ 0xFF51AFD7ED558CCD)
-        return mixed(np.array([total], np.uint64))
+        short = np.array(_MULTIPLIERS[: len(hashes)], np.uint64) ^ np.uint64(0xFF51AFD7ED558CCD)
+        return mixed((hashes * short).sum(dtype=np.uint64, keepdims=True) + np.uint64(len(hashes)))
     return np.unique(grams(hashes, k))
