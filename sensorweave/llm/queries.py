@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprint, licenses, near_dedup, packing, passages, pieces, quality, secrets, sharding, token_files
+from . import fingerprint, licenses, near_dedup, oracles, packing, passages, pieces, quality, secrets, sharding, token_files
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,4 +72,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that SQL can express; the others are tested against brute force."""
+    return {
+        op5_line_quality.__name__: oracles.QUALITY,
+        op6_near_dedup.__name__: oracles.NEAR_DUP,
+        op10_multiset_fingerprint.__name__: oracles.FINGERPRINT,
+    }
