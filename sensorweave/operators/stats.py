@@ -61,7 +61,8 @@ def _div(total: Column, n: Column) -> Column:
 def intervals(df: DataFrame, ts: str, by: list[str] = [], order: list[str] | None = None) -> DataFrame:  # noqa: B006
     """``interval``: the time since the row before in arrival order, at least 0; the first row of a key has none."""
     w = Window.partitionBy(*by).orderBy(*(order or [ts]))
-    return df.withColumn("interval", F.greatest(F.col(ts) - F.lag(ts).over(w), F.lit(0)))
+    step = F.col(ts) - F.lag(ts).over(w)
+    return df.withColumn("interval", F.when(step.isNotNull(), F.greatest(step, F.lit(0))))
 
 
 def jitter(df: DataFrame, ts: str, by: list[str] = [], order: list[str] | None = None) -> DataFrame:  # noqa: B006

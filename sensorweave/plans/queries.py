@@ -265,7 +265,7 @@ def latency_summary(spark: SparkSession, d: str) -> DataFrame:
     return views.latencies(spark, d).where("us >= 0").groupBy("l_returnflag").agg(*stats.latency_summary(F.col("us")))
 
 
-@query("""WITH i AS (SELECT user_id, greatest(epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id), 0) AS s FROM events)
+@query("""WITH k AS (SELECT user_id, epoch_us(ts) - lag(epoch_us(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS d FROM events), i AS (SELECT user_id, CASE WHEN d < 0 THEN 0 ELSE d END AS s FROM k)
 SELECT user_id::BIGINT AS user_id, round(coalesce(avg(s), 0), 3) AS mean_interval, round(coalesce(stddev_samp(s), 0), 3) AS jitter_std_dev, count(s)::BIGINT AS n_intervals FROM i GROUP BY user_id""")
 def jitter_by_user(spark: SparkSession, d: str) -> DataFrame:
     out = stats.jitter(views.arrivals(spark, d), "ts_us", ["user_id"], ["ts_us", "event_id"])

@@ -99,7 +99,9 @@ class CorecReader(DataSourceReader):
             out += [FrameRange(path, lo, min(lo + self.size, n)) for lo in range(0, n, self.size)]
         return out
 
-    def read(self, partition: FrameRange) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: FrameRange | None) -> Iterator[pa.RecordBatch]:
+        if partition is None:  # no frames at all
+            return
         path, name = partition.path, os.path.basename(partition.path)
         h = read_header(path)
         schema = arrow_schema(self.section)
