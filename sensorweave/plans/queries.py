@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from ..functions import infer, scalar, signal, wire
 from ..operators import align, faults, stats, windows
 from ..schema import AuditConfig
-from ..sources import simulate, text
+from ..sources import corec, simulate, text
 from ..streaming import stateful
 from . import packets, reports, views
 
@@ -377,14 +377,36 @@ def simulated_eeg(spark: SparkSession, d: str) -> DataFrame:
     return one.select("sequence_id", F.col("channel").cast("bigint").alias("channel"), F.when(ok, F.round(wave, 6)).alias("wave"))
 
 
-@query()
+def _xs(e: str) -> str:
+    """One xorshift step of an unsigned expression."""
+    for op in ("<< 13", ">> 7", "<< 17"):
+        n = int(op[3:])
+        e = f"xor({e}, ((({e})::UHUGEINT * {1 << n}) % 18446744073709551616::UHUGEINT)::UBIGINT)" if op[0] == "<" else f"xor({e}, ({e}) >> {n})"
+    return e
+
+
+def _gauss(e: str) -> str:
+    unit = lambda x: f"(({_xs(f'greatest(({x}), 1)::UBIGINT')})::DOUBLE / 18446744073709551616.0::DOUBLE)"
+    return f"(sqrt(-2 * ln(greatest({unit(e)}, 1e-30))) * cos(2 * pi() * {unit(f'{e} + 1')}))"
+
+
+@query(f"""WITH RECURSIVE j(jump) AS (SELECT {simulate.FIRST_SACCADE}::BIGINT UNION ALL SELECT jump + 30 + ({_xs('(jump * 7919 + 15)::UBIGINT')} % 60)::BIGINT FROM j WHERE jump < 2000),
+f AS (SELECT i, max(jump) AS jump FROM range(0, 2000) r(i) LEFT JOIN j ON j.jump <= i GROUP BY i),
+g AS (SELECT i, CASE WHEN jump IS NULL THEN 0 ELSE {_gauss('(jump * 7919 + 13)')} * 15 END::FLOAT AS x, CASE WHEN jump IS NULL THEN 0 ELSE {_gauss('(jump * 7919 + 14)')} * 10 END::FLOAT AS y,
+  ({_gauss('(i * 31 + 7)')} * 0.1)::FLOAT AS nx, ({_gauss('(i * 37 + 11)')} * 0.1)::FLOAT AS ny, ({_gauss('(i + 1)')} * 0.5)::FLOAT AS np FROM f)
+SELECT i::BIGINT AS idx, i * 16666666::BIGINT AS timestamp_ns, round((x + nx)::DOUBLE, 3) AS x, round((y + ny)::DOUBLE, 3) AS y, round((3.0::FLOAT + np)::DOUBLE, 3) AS pupil_diameter FROM g""")
 def simulated_gaze(spark: SparkSession, d: str) -> DataFrame:
-    return simulate.simulated_gaze(spark, 2000)
+    g = simulate.simulated_gaze(spark, 2000)
+    return g.select("idx", "timestamp_ns", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("x", "y", "pupil_diameter")])
 
 
-@query()
+@query(f"""WITH RECURSIVE s(i, d, c, dropped, position) AS (SELECT -1::BIGINT, {faults.DROP_SEED}::UBIGINT, {faults.CORRUPT_SEED}::UBIGINT, false, NULL::BIGINT UNION ALL
+SELECT i + 1, d1, CASE WHEN d1 < {int(0.01 * 2.0**64)}::UBIGINT THEN c WHEN c1 < {int(0.005 * 2.0**64)}::UBIGINT THEN {_xs('c1')} ELSE c1 END, d1 < {int(0.01 * 2.0**64)}::UBIGINT,
+  CASE WHEN d1 >= {int(0.01 * 2.0**64)}::UBIGINT AND c1 < {int(0.005 * 2.0**64)}::UBIGINT THEN ({_xs('c1')} % 128020)::BIGINT END
+FROM (SELECT i, c, {_xs('d')} AS d1, {_xs('c')} AS c1 FROM s WHERE i < 1999))
+SELECT i AS packet, dropped, position FROM s WHERE i >= 0""")
 def fault_drop_corrupt(spark: SparkSession, d: str) -> DataFrame:
-    return faults.fault_plan(spark, 10_000, 0.01, 0.005, 128_020)
+    return faults.fault_plan(spark, 2_000, 0.01, 0.005, 128_020)
 
 
 @query("SELECT 10000::BIGINT AS seen, 85::BIGINT AS dropped, 51::BIGINT AS corrupted, 9915::BIGINT AS sent, 0.0085::DOUBLE AS drop_fraction, round(85 / 9915.0::DOUBLE, 10) AS loss_fraction, round((10000 - 9915) / 10000.0::DOUBLE * 100, 10) AS loss_percent")
@@ -494,6 +516,44 @@ def stream_tumbling(spark: SparkSession, d: str) -> DataFrame:
     return out.select(F.unix_micros("window.start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
+@query("""WITH k AS (SELECT user_id, ts, value, CASE WHEN ts - lag(ts) OVER o < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS first FROM events WINDOW o AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(first) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS session FROM k)
+SELECT user_id::BIGINT AS user_id, epoch_us(min(ts)) AS start_us, count(*)::BIGINT AS n FROM s GROUP BY user_id, session""")
+def session_windows(spark: SparkSession, d: str) -> DataFrame:
+    events = views.arrivals(spark, d).withColumn("ts", F.timestamp_micros("ts_us"))
+    return stateful.sessions(events, "6 hours").select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
+
+
+@query(ORACLE["interval_join_tolerance"])
+def stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
+    buy = _stream(spark, d).where("event_type = 'purchase'").select("user_id", "event_id", "ts_us", F.col("ts").alias("buy_ts"))
+    seen = _stream(spark, d).where("event_type = 'view'").select("user_id", F.col("event_id").alias("view_id"), F.col("ts_us").alias("view_us"), F.col("ts").alias("view_ts"))
+    near = stateful.within(buy, seen.withColumnRenamed("user_id", "view_user"), ("user_id", "view_user"), "buy_ts", "view_ts", "300 SECONDS")
+    out = near.select("user_id", "event_id", "view_id", (F.col("view_us") - F.col("ts_us")).alias("offset_us"))
+    return stateful.drained(out, _folder(spark))
+
+
+@query("SELECT vec_id::BIGINT AS sequence_id, vec_id * 3906250::BIGINT AS timestamp_ns, len(embedding)::BIGINT AS n_channels, round(list_sum([x::DOUBLE for x in embedding]), 5) AS total FROM embeddings")
+def corec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The frames written as a recording and scanned back in small splits."""
+    corec.register(spark)
+    path = os.path.join(tempfile.mkdtemp(prefix="corec-"), "all.corec")
+    corec.write_corec(path, RATE, 60.0, views.eeg(spark, d), views.gaze(spark, d).where("idx < 100"))
+    got = spark.read.format("corec").option("framesPerPartition", 128).load(path)
+    total = F.aggregate("channels", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return got.select("sequence_id", "timestamp_ns", F.size("channels").cast("bigint").alias("n_channels"), F.round(total, 5).alias("total"))
+
+
+@query("WITH r AS (SELECT vec_id::BIGINT + 1 AS rn, embedding FROM embeddings), e AS (SELECT rn AS w FROM r WHERE rn >= 50 AND rn % 25 = 0) SELECT w AS window_end, (len(embedding) * 50)::BIGINT AS n_values, round(sum(embedding[1]::DOUBLE * (rn - w + 50)), 5) AS weighted FROM e JOIN r ON rn > w - 50 AND rn <= w GROUP BY w, len(embedding)")
+def model_input_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Channel-major model windows; the weighted sum holds the first channel's order."""
+    frames = views.eeg(spark, d).withColumn("rn", F.col("sequence_id") + 1).withColumns({"x": F.lit(0.0), "y": F.lit(0.0), "pupil_diameter": F.lit(3.0)})
+    out = packets.model_windows(frames, 50, 25)
+    first = F.slice("eeg", 1, 50)
+    weighted = F.aggregate(F.transform(first, lambda v, i: v.cast("double") * (i + 1)), F.lit(0.0), lambda s, v: s + v)
+    return out.select("window_end", F.size("eeg").cast("bigint").alias("n_values"), F.round(weighted, 5).alias("weighted"))
+
+
 def ordered_first(df: DataFrame, n: int, *order: str) -> DataFrame:
     """The first rows of an order, as a top-k."""
     return df.orderBy(*order).limit(n)

@@ -78,11 +78,11 @@ def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes
     return events.withWatermark(time, late).groupBy(F.session_window(time, gap), "user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
-def within(left: DataFrame, right: DataFrame, key: str, left_time: str, right_time: str, tolerance: str, late: str = "10 minutes") -> DataFrame:
-    """Stream-stream join of rows within a tolerance; both watermarks bound the state."""
+def within(left: DataFrame, right: DataFrame, keys: tuple[str, str], left_time: str, right_time: str, tolerance: str, late: str = "10 minutes") -> DataFrame:
+    """Stream-stream join of rows of one key within a tolerance; both watermarks bound the state.  Names must differ."""
     l, r = left.withWatermark(left_time, late), right.withWatermark(right_time, late)
     near = F.expr(f"{right_time} BETWEEN {left_time} - INTERVAL {tolerance} AND {left_time} + INTERVAL {tolerance}")
-    return l.join(r, (l[key] == r[key]) & near)
+    return l.join(r, (F.col(keys[0]) == F.col(keys[1])) & near)
 
 
 def fan_out(stream: DataFrame, sinks: list[Callable[[DataFrame, int], None]], checkpoint: str):
