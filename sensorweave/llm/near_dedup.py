@@ -8,7 +8,8 @@
 3. Buckets whose other members still lie in several components are compared
    among themselves, but only across components: every pair of a bucket is
    either compared or already connected.  Such a bucket is dealt out by pairs of
-   hash blocks, so no task holds more than two blocks of it.
+   hash blocks, so no task holds more than two blocks of it, and each group of
+   two blocks gives only links that connect its components, never its pairs.
 4. A comparison goes through the signatures in batches of ``batch`` values.
    After n values with m agreeing, the posterior probability (uniform prior)
    that the similarity reaches the threshold is the binomial probability of at
@@ -44,7 +45,7 @@ class NearDup:
     rows: int = 7
     batch: int = 32
     miss: float = 1e-5
-    block: int = 1024
+    block: int = 512
     seed: int = 20240601
 
     @property
@@ -134,42 +135,69 @@ def pruned(pairs: DataFrame, signatures: DataFrame, p: NearDup) -> DataFrame:
     return both.mapInArrow(prune, "a long, b long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """The (a, b) pairs whose full shingle sets reach the threshold."""
+class FullSets:
+    """Shingle sets of texts by node, a bounded number remembered."""
+
+    def __init__(self, p: NearDup, limit: int = 64):
+        self.p, self.limit, self.known = p, limit, WordHashes()
+        self.sets: dict[int, np.ndarray] = {}
+
+    def of(self, node: int, text: bytes) -> np.ndarray:
+        if node not in self.sets:
+            if len(self.sets) >= self.limit:
+                self.sets.clear()
+            self.sets[node] = shingle_set(self.known.of(lower_words(text)), self.p.k)
+        return self.sets[node]
+
+    def linked(self, a: tuple[int, bytes], b: tuple[int, bytes]) -> bool:
+        x, y = self.of(*a), self.of(*b)
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        return common * 100 >= self.p.percent * (len(x) + len(y) - common)
 
-    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
-        last: dict[int, np.ndarray] = {}
 
-        def full_set(node: int, text: bytes) -> np.ndarray:
-            if node not in last:
-                if len(last) >= 64:
-                    last.clear()
-                last[node] = shingle_set(known.of(lower_words(text)), p.k)
-            return last[node]
+def verified(pairs: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+    """The (a, b) pairs whose full shingle sets reach the threshold; ``texts`` has node, text."""
 
+    def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        full = FullSets(p)
         for batch in batches:
-            keep = []
             rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            for i, (a, b, text_a, text_b) in enumerate(rows):
-                x, y = full_set(a, text_a), full_set(b, text_b)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                if common * 100 >= p.percent * (len(x) + len(y) - common):
-                    keep.append(i)
-            keep = pa.array(keep, pa.int64())
+            keep = pa.array([i for i, (a, b, text_a, text_b) in enumerate(rows) if full.linked((a, text_a), (b, text_b))], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(i).take(keep) for i in (0, 1)], names=["a", "b"])
 
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text")).join(ids, "node")
-    texts = written(texts, "pair-texts")
     left = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return both.mapInArrow(verify, "a long, b long")
 
 
-def across(members: DataFrame, labels: DataFrame, signatures: DataFrame, p: NearDup) -> DataFrame:
-    """Likely pairs (a, b) of buckets' other members that lie in different components."""
+def group_links(rows: list[tuple], needs: list[tuple[int, int]], p: NearDup) -> Iterator[tuple[int, int]]:
+    """Verified links that connect components of one dealt group.
+
+    Rows are (bucket, i, j, own block, node, label, signature, text).  In a group
+    of two blocks only pairs between them are compared.  A link makes its two
+    components one, whose pairs then need no comparison.
+    """
+    i, j, own, nodes, labels = (np.array(c) for c in list(zip(*(r[1:6] for r in rows), strict=True)))
+    if (labels == labels[0]).all():
+        return
+    sig = np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(len(rows), -1)
+    full = FullSets(p, limit=len(rows) + 1)
+    for x in range(len(rows)):
+        rest = np.arange(x + 1, len(rows))
+        rest = rest[labels[rest] != labels[x]]
+        if i[0] != j[0]:
+            rest = rest[own[rest] != own[x]]
+        if not len(rest):
+            continue
+        for y in rest[likely(np.broadcast_to(sig[x], (len(rest), sig.shape[1])), sig[rest], needs)].tolist():
+            if labels[x] != labels[y] and full.linked((int(nodes[x]), rows[x][7]), (int(nodes[y]), rows[y][7])):
+                labels[labels == labels[y]] = labels[x]
+                yield int(nodes[x]), int(nodes[y])
+
+
+def across(members: DataFrame, labels: DataFrame, signatures: DataFrame, texts: DataFrame, p: NearDup) -> DataFrame:
+    """Links (a, b) between components among buckets' other members."""
     needs = p.least_matches()
     others = members.where("n > 2 AND node <> leader")
     others = others.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
@@ -179,26 +207,14 @@ def across(members: DataFrame, labels: DataFrame, signatures: DataFrame, p: Near
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
     dealt = others.join(mixed_up, "bucket").withColumn("own", own).select("bucket", "node", "label", "own", F.explode(places).alias("at"))
-    dealt = dealt.select("bucket", "at.i", "at.j", "own", "node", "label").join(signatures, "node")
-    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").select("bucket", "i", "j", "own", "node", "label", "sig")
-
-    def group(rows: list[tuple]) -> Iterator[tuple[int, int]]:
-        _, i, j, own, nodes, labels = (np.array(c) for c in zip(*(r[:6] for r in rows), strict=True))
-        sig = np.frombuffer(b"".join(r[6] for r in rows), "<u2").reshape(len(rows), -1)
-        for x in range(len(rows)):
-            rest = np.arange(x + 1, len(rows))
-            rest = rest[(labels[rest] != labels[x]) & (nodes[rest] != nodes[x])]
-            if i[0] != j[0]:
-                rest = rest[own[rest] != own[x]]
-            if len(rest):
-                for y in rest[likely(np.broadcast_to(sig[x], (len(rest), sig.shape[1])), sig[rest], needs)]:
-                    yield int(nodes[x]), int(nodes[y])
+    dealt = dealt.select("bucket", "at.i", "at.j", "own", "node", "label").join(signatures, "node").join(texts, "node")
+    dealt = dealt.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node").select("bucket", "i", "j", "own", "node", "label", "sig", "text")
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            found = list(dict.fromkeys(group(held)))
+            found = list(group_links(held, needs, p))
             return pa.RecordBatch.from_pydict({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
 
         for batch in batches:
@@ -206,7 +222,8 @@ def across(members: DataFrame, labels: DataFrame, signatures: DataFrame, p: Near
                 if held and held[0][:3] != row[:3]:
                     yield done()
                     held = []
-                held.append(row)
+                if not held or held[-1][4] != row[4]:
+                    held.append(row)
         if held:
             yield done()
 
@@ -230,12 +247,14 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     led = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = written(banded.join(led, "bucket"), "members")
     signatures = written(nodes.join(members.select("node").distinct(), "node", "left_semi"), "signatures")
+    nodes_met = members.select("node").distinct()
+    texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
+    texts = written(texts.join(nodes_met, "node", "left_semi"), "texts")
     first = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    links = written(verified(written(pruned(first, signatures, p), "likely"), docs, p), "links")
+    links = written(verified(written(pruned(first, signatures, p), "likely"), texts, p), "links")
     labels = components(links)
-    more = written(across(members, labels, signatures, p), "likely")
-    if not more.isEmpty():
-        found = written(verified(more, docs, p), "links")
+    found = written(across(members, labels, signatures, texts, p), "links")
+    if not found.isEmpty():
         named = labels.select(F.col("node").alias("a"), F.col("label").alias("label_a")), labels.select(F.col("node").alias("b"), F.col("label").alias("label_b"))
         joined = found.join(named[0], "a", "left").join(named[1], "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
         stars = labels.where("node <> label").select(F.col("node").alias("a"), F.col("label").alias("b"))
