@@ -249,7 +249,7 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     signatures = written(nodes.join(members.select("node").distinct(), "node", "left_semi"), "signatures")
     nodes_met = members.select("node").distinct()
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
-    texts = written(texts.join(nodes_met, "node", "left_semi"), "texts")
+    texts = written(texts.join(nodes_met.hint("merge"), "node", "left_semi"), "texts")  # the nodes grow with the corpus
     first = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
     links = written(verified(written(pruned(first, signatures, p), "likely"), texts, p), "links")
     labels = components(links)
@@ -268,4 +268,4 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
 def deduplicated(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """``docs`` with one document of each group, in their columns; rows without doc_id stay."""
     dropped = near_duplicates(docs, p).where("NOT kept AND doc_id IS NOT NULL").select("doc_id").distinct()
-    return docs.join(written(dropped, "dropped"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    return docs.join(written(dropped, "dropped").hint("merge"), "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
