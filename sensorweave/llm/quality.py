@@ -93,7 +93,13 @@ def judged(df: DataFrame, text: str = "text", min_words: int = 50, most_repeat_p
     df = df.withColumn("__held", F.length(_joined("__lines"))).withColumn("__left", F.length(F.array_join(F.filter("__good", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "\n")))
     failed = (F.col("__n_words") < min_words) | (100 * F.col("__n_repeat") > most_repeat_percent * F.col("__n_words"))
     df = df.withColumn("__base_failed", failed)
-    return df.withColumn("__kept", ~F.col("__base_failed") & (100 * (F.col("__held") - F.col("__left")) <= most_lost_percent * F.col("__held")))
+    df = df.withColumn("__kept", ~F.col("__base_failed") & (100 * (F.col("__held") - F.col("__left")) <= most_lost_percent * F.col("__held")))
+    return fenced(df)
+
+
+def fenced(df: DataFrame) -> DataFrame:
+    """The same rows behind a generator: a filter above is not pushed down into the stages, which it would unfold into one expression."""
+    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
 
 
 def quality_report(docs: DataFrame, **limits: int) -> DataFrame:
