@@ -5,6 +5,7 @@ from test_near_dedup import by_brute_force
 
 from sensorweave.llm.near_dedup import deduplicated
 from sensorweave.llm.quality import clean_documents
+from sensorweave.llm.shared import scratch, written
 
 
 def test_stages_keep_columns(spark, odd, none):
@@ -27,7 +28,7 @@ def test_decisions_take_effect(spark):
     rows = [(1, prose(120, 1)), (2, prose(120, 1) + " more."), (3, "a | b | c\n" * 60), (4, prose(150, 2) + "\n" + prose(70, 3)), (5, prose(160, 4) + "\n" + prose(70, 3)), (6, prose(100, 5) + '\nThe key is here. token = "' + "0f" * 20 + '"')]
     docs = table(spark, rows)
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.written(stage(spark, docs, ""), name)
+        docs = written(stage(spark, docs, ""), name)
     got = {r.doc_id: r.text for r in docs.collect()}
     assert set(got) == {1, 4, 5, 6}
     assert got[1] == rows[0][1] and got[4] == rows[3][1]
@@ -39,3 +40,11 @@ def test_whole_run(spark, sf):
     out = corpus_pipeline.run(spark, sf)
     assert out.groupBy("sequence_id").sum("length").where("`sum(length)` > 1024").count() == 0
     assert out.count() > 0
+
+
+def test_scratch_tables_go(spark):
+    with scratch(spark):
+        kept = written(spark.range(5), "numbers")
+        path = kept.inputFiles()[0]
+        assert kept.count() == 5
+    assert not spark._jvm.java.io.File(path.removeprefix("file://").removeprefix("file:")).exists()
