@@ -9,7 +9,7 @@ from sensorweave.llm.packing import pack_documents
 from sensorweave.llm.passages import without_passages
 from sensorweave.llm.quality import clean_documents
 from sensorweave.llm.secrets import redact_documents
-from sensorweave.llm.shared import written
+from sensorweave.llm.shared import scratch, shared_folder
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,8 +50,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole ``documents`` table, each written and read again."""
+    """All stages over the whole ``documents`` table, each written and read again; a stage's own tables go with it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        path = shared_folder(spark, name)
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
     return docs
