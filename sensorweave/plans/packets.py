@@ -60,7 +60,8 @@ def model_windows(aligned: DataFrame, size: int = 500, stride: int = 100, by: li
         n = F.size(rows[0])
         return F.flatten(F.transform(F.sequence(F.lit(0), n - 1), lambda c: F.transform(F.col("ticks"), lambda t: t[part][c])))
 
-    return full.select(*by, "window_end", flat("c").alias("eeg"), flat("g").alias("gaze"))
+    # behind a generator, so that a model's UDF over the arrays is not folded into the aggregation
+    return full.select(F.inline(F.array(F.struct(*by, "window_end", flat("c").alias("eeg"), flat("g").alias("gaze")))))
 
 
 def replay(eeg: DataFrame, gaze: DataFrame, rate_hz: float, gaze_rate_hz: float, mode: str = "nearest", by: list[str] = [], **kwargs) -> DataFrame:  # noqa: B006
