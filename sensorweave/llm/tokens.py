@@ -11,7 +11,7 @@ The ids equal those of encoding the whole text (tests/llm/test_tokens.py).
 from __future__ import annotations
 
 import os
-import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -19,7 +19,6 @@ import numpy as np
 END_ID = 0
 
 _CUT = "\x01"
-_TOUCHING = re.compile(r"\s\s|\x01")
 
 
 def default_vocabulary() -> str:
@@ -28,55 +27,59 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-class _Both(dict):
-    """What is new, over what was known."""
+def _byte_letters() -> dict[int, str]:
+    """The vocabulary's letter for each byte: printable Latin-1 stands for itself, the rest follow from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
-    def __init__(self, new: dict, known: dict):
-        super().__init__(new)
-        self.known = known
 
-    def __missing__(self, key: str) -> bytes:
-        return self.known[key]
+_BYTE_LETTERS = _byte_letters()
+_NEWLINE = _BYTE_LETTERS[10]
 
 
 class Encoder:
     """Texts to little-endian uint32 ids, with bounded memory of chunks."""
 
-    def __init__(self, vocabulary: str, limit: int = 900_000):
+    def __init__(self, vocabulary: str, limit: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.limit = limit
         self.known: dict[str, bytes] = {}
-        self.newline = self.tokenizer.token_to_id("Ċ")
-        self.marks = dict(zip(",.", self._library([",", "."]), strict=True))
+        self.newline = self.tokenizer.token_to_id(_NEWLINE)
+        self.by_word = Tokenizer.from_file(vocabulary)
+        self.by_word.pre_tokenizer = pre_tokenizers.Split(_NEWLINE, "isolated")
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
 
-    def _encoded(self, chunks: set[str]) -> dict[str, bytes]:
-        """Ids of new chunks, which hold no newline but may be one.
+    def _encoded(self, chunks: set[str]) -> dict[str, bytes | None]:
+        """Ids of new chunks; None for one with white space inside or nothing else, where a cut proves nothing."""
+        found: dict[str, bytes | None] = dict.fromkeys(chunks)
+        if "\n" in chunks:
+            found["\n"] = self._library(["\n"])[0]
+        solid = [c for c in chunks if len(c.split()) == 1 and not c[-1].isspace() and (c[0] == " " or not c[0].isspace())]
+        letters = [c for c in solid if (c[1:] if c[0] == " " else c).isalpha()]
+        other = list(set(solid).difference(letters))
+        mapped = "\n".join(letters).encode().decode("latin-1").translate(_BYTE_LETTERS).split(_NEWLINE)
+        found.update(zip(letters, self._apart(self.by_word, mapped if letters else [], _NEWLINE), strict=True))
+        found.update(zip(other, self._apart(self.tokenizer, other, "\n"), strict=True))
+        return found
+
+    def _apart(self, tokenizer, words: list[str], newline: str, together: int = 64) -> Iterator[bytes]:
+        """Ids of each word, many in a call: newlines, always tokens of their own before a word, part them.
 
-        A full stop or comma after a letter is a token of its own, so it is
-        split off; and a newline between two chunks is one, so all are encoded
-        in one call.
+        Letters behind at most one space are one pre-token, so ``by_word`` need
+        not search for pre-tokens in them.
         """
-        bases = {c[:-1] if c[-2:-1].isalpha() and c[-1] in ",." else c for c in chunks}
-        solid = [c for c in bases if c.strip()]
-        blank = [c for c in bases if not c.strip()]
-        found = dict(zip(blank, self._library(blank), strict=True))
-        if solid:
-            ids = np.frombuffer(self._library(["\n".join(solid)])[0], "<u4")
-            cuts = np.flatnonzero(ids == self.newline)
-            parts = [x.tobytes() for x in self._split(ids, cuts)] if len(cuts) == len(solid) - 1 else self._library(solid)
-            found.update(zip(solid, parts, strict=True))
-        for c in chunks:
-            if c not in found:
-                found[c] = found[c[:-1]] + self.marks[c[-1]]
-        return found
+        texts = [newline.join(words[i : i + together]) for i in range(0, len(words), together)]
+        for encoded in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
+            ids = np.array(encoded.ids, "<u4")
+            yield from (x.tobytes() for x in self._split(ids, np.flatnonzero(ids == self.newline)))
 
     @staticmethod
     def _split(ids: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
@@ -90,24 +93,32 @@ class Encoder:
 
     def encode_many(self, texts: list[str]) -> list[bytes]:
         """The ids of each whole text, without end ids."""
-        cut: list[list[str] | None] = []
+        cut: list[tuple[list[str], list[bytes | None], list[int]] | None] = []
         new: set[str] = set()
-        known = self.known
+        known = self.known.get
         for text in texts:
-            if _TOUCHING.search(text) or any(s in text for s in self.specials):
+            if _CUT in text or any(s in text for s in self.specials):
                 cut.append(None)
                 continue
             chunks = text.replace("\n", "\x01\n\x01").replace(" ", "\x01 ").split(_CUT)
-            cut.append(chunks)
-            new |= set(chunks).difference(known)
-        if new:
-            found = self._encoded(new)
-            if len(known) < self.limit:
-                known.update(found)
-            else:
-                known = _Both(found, known)
-        ids = known.__getitem__
-        return [self._library([t])[0] if c is None else b"".join(map(ids, c)) for t, c in zip(texts, cut, strict=True)]
+            parts = list(map(known, chunks))
+            holes = [i for i, p in enumerate(parts) if p is None] if None in parts else []
+            new.update([chunks[i] for i in holes])
+            cut.append((chunks, parts, holes))
+        found = self._encoded(new) if new else {}
+        out = []
+        for text, got in zip(texts, cut, strict=True):
+            if got is not None:
+                chunks, parts, holes = got
+                for i in holes:
+                    parts[i] = found[chunks[i]]
+                if None not in parts:
+                    out.append(b"".join(parts))
+                    continue
+            out.append(self._library([text])[0] if text else b"")
+        if len(self.known) < self.limit:
+            self.known.update(found)
+        return out
 
     def sentence_ends(self) -> np.ndarray:
         """For every id, whether its text ends a sentence or a line."""
