@@ -197,29 +197,36 @@ class Pieces:
             got.update(zip(part, self.many_words(part), strict=True))
         return got
 
+    @staticmethod
+    def words(text: str) -> list[str]:
+        """The words of a text behind a space, each with the spaces before it."""
+        if not text:
+            return []
+        if "  " in text or text[0] == " " or text[-1] == " " or "\x01" in text:
+            return _WORD.findall(" " + text)
+        return (" " + text).replace(" ", "\x01 ").split("\x01")[1:]
+
     def encode_many(self, keys: list[int], texts: list[str]) -> list[bytes]:
         """Little-endian uint32 ids of each text; ``keys`` shift which variant each word gets."""
-        words = [_WORD.findall(" " + t) if t else [] for t in texts]
+        n = self.variants
+        cut = []
         missing: set[tuple[str, int]] = set()
-        for key, w in zip(keys, words, strict=True):
-            for v in range(min(self.variants, len(w))):
-                variant = (key + v) % self.variants
-                missing.update((x, variant) for x in set(w[v :: self.variants]).difference(self.known[variant]))
-        new: list[dict[str, bytes]] = [{} for _ in range(self.variants)]
-        for (word, variant), ids in self._learn(list(missing)).items():
-            new[variant][word] = ids
-        for variant, found in enumerate(new):
-            if len(self.known[variant]) + len(found) <= self.limit:
-                self.known[variant].update(found)
-        out = []
-        for key, w in zip(keys, words, strict=True):
-            parts: list[bytes] = [b""] * len(w)
-            for v in range(min(self.variants, len(w))):
-                variant = (key + v) % self.variants
-                old, late = self.known[variant], new[variant]
-                parts[v :: self.variants] = [late[x] if x in late else old[x] for x in w[v :: self.variants]]
-            out.append(b"".join(parts))
-        return out
+        for key, text in zip(keys, texts, strict=True):
+            words = self.words(text)
+            parts: list[bytes | None] = [None] * len(words)
+            for v in range(min(n, len(words))):
+                parts[v::n] = list(map(self.known[(key + v) % n].get, words[v::n]))
+            holes = [i for i, p in enumerate(parts) if p is None] if None in parts else []
+            missing.update([(words[i], (key + i) % n) for i in holes])
+            cut.append((key, words, parts, holes))
+        got = self._learn(list(missing))
+        for key, words, parts, holes in cut:
+            for i in holes:
+                parts[i] = got[words[i], (key + i) % n]
+        for (word, variant), ids in got.items():
+            if len(self.known[variant]) < self.limit:
+                self.known[variant][word] = ids
+        return [b"".join(parts) for _, _, parts, _ in cut]
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         return np.frombuffer(self.encode_many([key], [text])[0], "<u4").tolist()
