@@ -17,17 +17,24 @@ DEGRADED_MS = 10.0
 
 
 def _neighbours(left: DataFrame, right: DataFrame, by: list[str], ts: str, left_idx: str, right_idx: str, right_cols: list[str]) -> DataFrame:
-    """Anchors with ``__before`` and ``__after`` structs (ts, idx, right_cols), by one shuffle on ``by`` and two sorts."""
+    """Anchors with ``__before`` and ``__after`` structs (ts, idx, right_cols).
+
+    Every right row first learns its successor, so one pass over both streams in
+    time order gives the last row at or before an anchor and, through it, the
+    first one after.  A frame to the end of the partition would be quadratic.
+    """
     held = F.struct(F.col(ts).alias("ts"), F.col(right_idx).alias("idx"), *right_cols)
-    r = right.select(*by, F.col(ts).alias("__t"), F.lit(0).alias("__k"), F.col(right_idx).cast("bigint").alias("__i"), held.alias("__r"))
+    successor = F.lead(held).over(Window.partitionBy(*by).orderBy(ts, right_idx))
+    r = right.select(*by, F.col(ts).alias("__t"), F.lit(0).alias("__k"), F.col(right_idx).cast("bigint").alias("__i"), F.struct(held.alias("at"), successor.alias("next")).alias("__r"))
     row = F.struct(*left.columns)
     anchors = left.select(*by, F.col(ts).alias("__t"), F.lit(1).alias("__k"), F.col(left_idx).cast("bigint").alias("__i"), row.alias("__l"))
     both = r.unionByName(anchors, allowMissingColumns=True)
-    # the reversed order, not a frame to the end: both windows then run in linear time
-    up = Window.partitionBy(*by).orderBy("__t", "__k", "__i").rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(*by).orderBy(F.desc("__t"), F.desc("__k"), F.desc("__i")).rowsBetween(Window.unboundedPreceding, 0)
-    last = F.last("__r", ignorenulls=True)
-    return both.select("*", last.over(up).alias("__before")).select("*", last.over(down).alias("__after")).where("__k = 1")
+    w = Window.partitionBy(*by).orderBy("__t", "__k", "__i")
+    last = F.last("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    first = F.first("__r", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    near = both.select("*", last.alias("__last"), first.alias("__first")).where("__k = 1")
+    after = F.when(F.col("__last").isNull(), F.col("__first.at")).otherwise(F.col("__last.next"))
+    return near.select(*by, "__l", F.col("__last.at").alias("__before"), after.alias("__after"))
 
 
 def _nearest(df: DataFrame, ts: Column, before: Column, after: Column, columns: list[Column], right_cols: list[str]) -> DataFrame:
