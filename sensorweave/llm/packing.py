@@ -16,7 +16,6 @@ windows of power-of-two lengths, which need no padding, where that is cheaper.
 from __future__ import annotations
 
 import zlib
-from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -45,22 +44,21 @@ def best_cuts(ends: list[int], penalties: list[int], capacity: int) -> list[int]
     ``ends`` ascends from above 0 and no two neighbours, 0 included, lie more
     than ``capacity`` apart.  Of equal costs the earlier start wins.
     """
-    at, cost, back = [0, *ends], [0], [0]
-    queue: deque[int] = deque([0])
-    keys = [0]
-    for j in range(1, len(at)):
-        e = at[j]
-        while at[queue[0]] < e - capacity:
-            queue.popleft()
-        i = queue[0]
-        f = keys[i] + capacity - e + penalties[j - 1]
-        cost.append(f)
-        back.append(i)
-        key = f + e
-        keys.append(key)
-        while queue and keys[queue[-1]] > key:
-            queue.pop()
-        queue.append(j)
+    at = [0, *ends]
+    n = len(at)
+    keys, back, queue = [0] * n, [0] * n, [0] * n  # keys: f(e) + e; queue[head:tail] holds candidates of rising keys
+    head, tail = 0, 1
+    for j in range(1, n):
+        least = at[j] - capacity
+        while at[queue[head]] < least:
+            head += 1
+        i = queue[head]
+        back[j] = i
+        keys[j] = key = keys[i] + capacity + penalties[j - 1]
+        while tail > head and keys[queue[tail - 1]] > key:
+            tail -= 1
+        queue[tail] = j
+        tail += 1
     cuts, j = [], len(at) - 1
     while j:
         cuts.append(at[j])
@@ -70,14 +68,16 @@ def best_cuts(ends: list[int], penalties: list[int], capacity: int) -> list[int]
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, costs: Costs) -> tuple[list[int], list[int]]:
     """Possible cuts of a stream and their penalties."""
-    inner = np.flatnonzero(sentence_end[ids]) + 1
-    at = np.union1d(inner, doc_ends)
+    ends_here = sentence_end[ids]
+    ends_doc = np.zeros(len(ids), bool)
+    ends_doc[doc_ends - 1] = True
+    at = np.flatnonzero(ends_here | ends_doc) + 1
     gaps = np.diff(np.concatenate(([0], at)))
     wide = np.flatnonzero(gaps > costs.stride)
     filled = [np.arange(at[i] - gaps[i] + costs.stride, at[i], costs.stride) for i in wide]
     forced = np.concatenate(filled) if filled else np.empty(0, np.int64)
     ends = np.concatenate([at, forced])
-    penalty = np.concatenate([np.where(np.isin(at, doc_ends), 0, costs.sentence_penalty), np.full(len(forced), costs.forced_penalty)])
+    penalty = np.concatenate([np.where(ends_doc[at - 1], 0, costs.sentence_penalty), np.full(len(forced), costs.forced_penalty)])
     order = np.argsort(ends, kind="stable")
     return ends[order].tolist(), penalty[order].tolist()
 
@@ -149,7 +149,7 @@ def pack_documents(docs: DataFrame, costs: Costs = Costs(), vocabulary: str | No
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)
         end = np.array([end_id], "<u4").tobytes()
-        packer = Packer(coder.sentence_ends(), costs, TaskContext.get().partitionId() << 40)
+        packer = Packer(coder.sentence_ends, costs, TaskContext.get().partitionId() << 40)
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], names=[f.split()[0] for f in PIECES.split(", ")])

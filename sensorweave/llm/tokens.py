@@ -11,8 +11,9 @@ The ids equal those of encoding the whole text (tests/llm/test_tokens.py).
 from __future__ import annotations
 
 import os
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 
@@ -47,6 +48,7 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.size = self.tokenizer.get_vocab_size()
         self.limit = limit
         self.known: dict[str, bytes] = {}
         self.newline = self.tokenizer.token_to_id(_NEWLINE)
@@ -55,19 +57,19 @@ class Encoder:
 
     def _library(self, texts: list[str]) -> list[bytes]:
         encoded = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in encoded]
+        return [array("I", e.ids).tobytes() for e in encoded]
 
     def _encoded(self, chunks: set[str]) -> dict[str, bytes | None]:
         """Ids of new chunks; None for one with white space inside or nothing else, where a cut proves nothing."""
-        found: dict[str, bytes | None] = dict.fromkeys(chunks)
-        if "\n" in chunks:
+        letters = [c for c in chunks if (c[1:] if c[:1] == " " else c).isalpha()]
+        rest = chunks.difference(letters)
+        found: dict[str, bytes | None] = dict.fromkeys(rest)
+        if "\n" in rest:
             found["\n"] = self._library(["\n"])[0]
-        solid = [c for c in chunks if len(c.split()) == 1 and not c[-1].isspace() and (c[0] == " " or not c[0].isspace())]
-        letters = [c for c in solid if (c[1:] if c[0] == " " else c).isalpha()]
-        other = list(set(solid).difference(letters))
+        solid = [c for c in rest if len(c.split()) == 1 and not c[-1].isspace() and (c[0] == " " or not c[0].isspace())]
         mapped = "\n".join(letters).encode().decode("latin-1").translate(_BYTE_LETTERS).split(_NEWLINE)
         found.update(zip(letters, self._apart(self.by_word, mapped if letters else [], _NEWLINE), strict=True))
-        found.update(zip(other, self._apart(self.tokenizer, other, "\n"), strict=True))
+        found.update(zip(solid, self._apart(self.tokenizer, solid, "\n"), strict=True))
         return found
 
     def _apart(self, tokenizer, words: list[str], newline: str, together: int = 64) -> Iterator[bytes]:
@@ -78,14 +80,15 @@ class Encoder:
         """
         texts = [newline.join(words[i : i + together]) for i in range(0, len(words), together)]
         for encoded in tokenizer.encode_batch_fast(texts, add_special_tokens=False):
-            ids = np.array(encoded.ids, "<u4")
-            yield from (x.tobytes() for x in self._split(ids, np.flatnonzero(ids == self.newline)))
+            yield from self._split(encoded.ids)
 
-    @staticmethod
-    def _split(ids: np.ndarray, cuts: np.ndarray) -> list[np.ndarray]:
-        starts = np.concatenate(([0], cuts + 1)).tolist()
-        stops = np.concatenate((cuts, [len(ids)])).tolist()
-        return [ids[a:b] for a, b in zip(starts, stops, strict=True)]
+    def _split(self, ids: list[int]) -> list[bytes]:
+        """The ids between newlines as bytes."""
+        whole = array("I", ids).tobytes()
+        if self.size <= self.newline << 8:  # then no two ids hold the newline's bytes across their border
+            return whole.split(self.newline.to_bytes(4, "little"))
+        cuts = [i for i, x in enumerate(ids) if x == self.newline]
+        return [whole[4 * a : 4 * b] for a, b in zip([0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True)]
 
     def encode(self, text: str) -> bytes:
         """The ids of one whole text, without an end id."""
@@ -120,11 +123,11 @@ class Encoder:
             self.known.update(found)
         return out
 
+    @cached_property
     def sentence_ends(self) -> np.ndarray:
         """For every id, whether its text ends a sentence or a line."""
-        size = self.tokenizer.get_vocab_size()
-        ends = np.zeros(size, bool)
-        for i in range(size):
+        ends = np.zeros(self.size, bool)
+        for i in range(self.size):
             piece = self.tokenizer.decode([i], skip_special_tokens=False)
             ends[i] = piece.rstrip(" \"')")[-1:] in (".", "!", "?", "\n", "。") if piece else False
         return ends
