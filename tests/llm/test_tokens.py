@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from sensorweave.llm import packing, token_files
+from sensorweave.llm import packing, token_files, tokens
 from sensorweave.llm.tokens import Encoder, default_vocabulary
 
 
@@ -44,6 +44,28 @@ def test_random_texts_give_the_library_s_ids(encoder):
         assert encoder.encode(text) == encoder._library([text])[0], repr(text)
 
 
+def test_long_texts(encoder, texts):
+    long = "\n".join(list(texts.values())) * 3
+    assert len(long.encode()) > 2 * tokens.TOGETHER
+    for text in (long, long + "  x", "ab" * tokens.TOGETHER, long[: tokens.TOGETHER + 50].replace(" ", "_")):
+        assert encoder.encode(text) == encoder._library([text])[0]
+
+
+def test_table_of_chunks():
+    rng = np.random.default_rng(1)
+    table = tokens.ChunkTable(100)
+    h = rng.integers(0, 40, 300, dtype=np.uint64) << np.uint64(40)  # many collisions of slots
+    h, g = h + np.arange(300, dtype=np.uint64) * np.uint64(1 << 20), rng.integers(0, 2**63, 300, dtype=np.uint64)
+    for lo in range(0, 300, 60):
+        new = [np.full(k % 4, lo + k, "<u4").tobytes() for k in range(60)]
+        entries = table.add(h[lo : lo + 60], g[lo : lo + 60], new)
+        ids, begin = table.ids_of(entries)
+        assert [ids[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)] == new
+    found = table.find(h, g)
+    assert (found[:100] == np.arange(100)).all() and (found[100:] == -1).all()
+    assert (table.find(h, g + np.uint64(1)) == -1).all()
+
+
 def test_file_reads_back_single_documents():
     out = io.BytesIO()
     writer = token_files.TokenWriter(out, 2, frame_ids=10)
