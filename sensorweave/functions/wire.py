@@ -9,7 +9,6 @@ fields are zero or empty.  A malformed packet yields its error's name instead.
 from __future__ import annotations
 
 import decimal
-import struct
 
 import numpy as np
 import pandas as pd
@@ -127,7 +126,3 @@ def decode_neural_packet(payload: pd.Series) -> pd.DataFrame:
         except DecodeError as e:
             rows.append((None, None, None, None, str(e)))
     return pd.DataFrame(rows, columns=NEURAL_PACKET.names)
-
-
-def float_bytes(values: list[float]) -> bytes:
-    return struct.pack(f"<{len(values)}f", *values)

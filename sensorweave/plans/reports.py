@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import wire
-from ..functions.scalar import log2_bucket
 from ..operators import faults, stats
 from ..schema import AuditConfig
 
@@ -90,8 +89,3 @@ def render(row: dict, config: dict | None = None, fmt: str = "table", compare: d
         raise ValueError(fmt)
     width = max(map(len, shown), default=0)
     return "\n".join(f"{k:<{width}}  {v:>20}" + (f"  {compare.get(k, '-')!s:>20}" if compare else "") for k, v in shown.items())
-
-
-def bucket_bounds(df: DataFrame, ns: str) -> DataFrame:
-    """``df`` with its histogram bucket, for inspection."""
-    return df.withColumn("bucket", log2_bucket(F.col(ns)))
