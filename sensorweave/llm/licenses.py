@@ -18,7 +18,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .words import WordHashes, grams
+from .workers import kept
 
 #: Notices and opening passages of public licenses.
 TEMPLATES = {
@@ -165,9 +165,8 @@ class Library:
         return [(t, *span) for t in sorted(best) for span in best[t]]
 
 
-@lru_cache(maxsize=2)
 def library(templates: tuple[tuple[str, str], ...], p: Bands) -> Library:
-    return Library(dict(templates), p)
+    return kept(("licenses", templates, p), lambda: Library(dict(templates), p))
 
 
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, p: Bands = Bands()) -> DataFrame:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .shared import written
 from .words import WordHashes, lower_words, mixed, shingle_set
+from .workers import kept
 
 
 @dataclass(frozen=True)
@@ -85,7 +86,7 @@ def sketches(docs: DataFrame, p: NearDup) -> DataFrame:
     """doc_id, n_shingles, the set's key (hi, lo) and signature; empty sets have neither."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, (a, b) = WordHashes(), p.multipliers()
+        known, (a, b) = kept("words", WordHashes), p.multipliers()
         for batch in batches:
             n, hi, lo, sig = [], [], [], []
             for text in batch.column(1):
@@ -139,7 +140,7 @@ class FullSets:
     """Shingle sets of texts by node, a bounded number remembered."""
 
     def __init__(self, p: NearDup, limit: int = 64):
-        self.p, self.limit, self.known = p, limit, WordHashes()
+        self.p, self.limit, self.known = p, limit, kept("words", WordHashes)
         self.sets: dict[int, np.ndarray] = {}
 
     def of(self, node: int, text: bytes) -> np.ndarray:

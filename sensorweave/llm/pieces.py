@@ -21,7 +21,6 @@ import heapq
 import re
 import zlib
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +29,7 @@ from pyspark.sql import DataFrame
 
 from .token_files import text_batches
 from .words import mixed
+from .workers import kept
 
 _WORD = re.compile(r" *[^ ]+| +")
 _LONG = 24
@@ -236,10 +236,9 @@ class Pieces:
         return b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-@lru_cache(maxsize=2)
 def pieces(model: str, rate: float, seed: int, variants: int) -> Pieces:
     """The model of this worker process, which keeps its words from task to task."""
-    return Pieces(model, rate, seed, variants)
+    return kept(("pieces", model, rate, seed, variants), lambda: Pieces(model, rate, seed, variants))
 
 
 def piece_report(docs: DataFrame, model: str | None = None, rate: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:

@@ -18,11 +18,12 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
-from functools import cached_property, lru_cache
+from functools import cached_property
 
 import numpy as np
 
 from .words import mixed
+from .workers import kept
 
 END_ID = 0
 
@@ -138,7 +139,7 @@ TOGETHER = 1 << 19
 class Encoder:
     """Texts to little-endian uint32 ids, with bounded memory of chunks."""
 
-    def __init__(self, vocabulary: str, limit: int = 700_000):
+    def __init__(self, vocabulary: str, limit: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer, pre_tokenizers
 
@@ -265,7 +266,6 @@ class Encoder:
         return ends
 
 
-@lru_cache(maxsize=2)
 def encoder(vocabulary: str) -> Encoder:
     """The encoder of this worker process, which keeps its chunks from task to task."""
-    return Encoder(vocabulary)
+    return kept(("encoder", vocabulary), lambda: Encoder(vocabulary))

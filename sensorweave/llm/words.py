@@ -31,7 +31,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 class WordHashes(dict):
     """64-bit hashes of words, remembered up to ``limit`` different words."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 150_000):
         super().__init__()
         self.limit = limit
 
