@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sensorweave.llm.near_dedup import deduplicated
+from sensorweave.llm.near_dedup import NearDup, deduplicated
 from sensorweave.llm.packing import pack_documents
 from sensorweave.llm.passages import without_passages
 from sensorweave.llm.quality import clean_documents
@@ -12,14 +12,18 @@ from sensorweave.llm.secrets import redact_documents
 from sensorweave.llm.shared import scratch, shared_folder
 
 
+#: A pair at the threshold shares no band with probability (1 - 0.8**6)**41, 4e-6.
+NEAR = NearDup(percent=80, bands=41, rows=6)
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Failing lines are removed, documents that lose too much go."""
     return clean_documents(docs)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
-    return deduplicated(docs)
+    """One document of each group of near copies stays: five-word shingles, similarity 0.8."""
+    return deduplicated(docs, NEAR)
 
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

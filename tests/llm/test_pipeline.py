@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest_llm import prose, table
+from conftest_llm import prose, table, words
 from test_quality import good_line, verdict
 from test_near_dedup import by_brute_force
 
@@ -24,6 +24,19 @@ def test_first_stages_against_brute_force(spark, documents, texts):
     assert kept == {i for i, (_, c) in by_brute_force(want).items() if i == c}
 
 
+def test_near_dedup_stage_links_from_four_fifths_on(spark):
+    docs = {}
+    for i in range(40):
+        w = words(300, 700 + i)
+        docs[2 * i] = " ".join(w)
+        for e in range(5 + i % 4):
+            w[20 + 35 * e] = f"edit{i}x{e}"
+        docs[2 * i + 1] = " ".join(w)
+    want = {i for i, (_, c) in by_brute_force(docs, 80).items() if i == c}
+    assert want != {i for i, (_, c) in by_brute_force(docs).items() if i == c} and len(want) < len(docs)
+    assert {r.doc_id for r in corpus_pipeline.near_dedup_stage(spark, table(spark, docs.items()), "").collect()} == want
+
+
 def test_decisions_take_effect(spark):
     rows = [(1, prose(120, 1)), (2, prose(120, 1) + " more."), (3, "a | b | c\n" * 60), (4, prose(150, 2) + "\n" + prose(70, 3)), (5, prose(160, 4) + "\n" + prose(70, 3)), (6, prose(100, 5) + '\nThe key is here. token = "' + "0f" * 20 + '"')]
     docs = table(spark, rows)
