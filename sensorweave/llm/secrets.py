@@ -1,8 +1,8 @@
 """Assignment-aware secret scan.
 
-Three base patterns are matched as they stand.  Beside them every line that
-holds an assignment is lexed into name-literal pairs, as source code and
-configuration files write them: ``name = "x"``, ``name: x``, ``name := x``,
+Three base patterns are matched as they stand.  Beside them every assignment,
+wherever in a line it stands, is lexed into a name-literal pair, as source code
+and configuration files write them: ``name = "x"``, ``name: x``, ``name := x``,
 ``"name" => 'x'``, ``NAME=x``, ``const name = a + "x"``.  Constants are
 propagated: a name on the right stands for the literals it was last given, so
 ``a = "..."`` followed by ``password = a`` reports the first literal.  A pair
@@ -53,11 +53,13 @@ SENSITIVE = {
 #: Literals that stand for a secret to be filled in.
 PLACEHOLDER = re.compile(r"(?i)^(?:<.*>|\$\{.*\}|\{\{.*\}\}|%\w+%|x{3,}|\*{3,}|\.{3,}|change_?me|example.*|your[_-].*|todo|none|null|nil|true|false|undefined|placeholder)$")
 
-_LINE = re.compile(
-    r"""^\s*(?:-\s+)?(?:(?:export|const|let|var|val|final|static|public|private|my|set)\s+)*"""
-    r"""(?P<quote>["']?)(?P<name>[A-Za-z_$@][\w.$@-]*(?:\[["']?\w+["']?\])?)(?P=quote)\s*(?::\s*[A-Za-z_]\w*\s*)?(?P<op>:=|=>|=(?!=)|:)\s*(?P<rest>\S.*)$"""
+_PAIR = re.compile(
+    r"""(?<![\w.$@])(?<![\w.$@]-)(?P<quote>["']?)(?P<name>[A-Za-z_$@][\w.$@-]*+(?:\[["']?\w+["']?\])?)(?P=quote)[^\S\n]*"""
+    r"""(?::[^\S\n]*(?P<kind>[A-Za-z_]\w*)[^\S\n]*(?==[^=>]))?(?P<op>:=|=>|=(?!=)|:(?!:))[^\S\n]*(?=\S)"""
 )
 _TERM = re.compile(r"""\s*(?:(?P<string>[rbfuRBFU]?(?P<mark>["'`])(?P<inside>(?:\\.|(?!(?P=mark))[^\\])*)(?P=mark))|(?P<word>[^\s"'`+,;#()\[\]{}]+))\s*""")
+_STRING = re.compile(r"""[rbfuRBFU]?["'`]""")
+_DOT = re.compile(r"""\.\s*(["'`$]|[A-Za-z_][\w.]*)""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _REFERENCE = re.compile(r"^\$?\{?([A-Za-z_][\w.]*)\}?$")
 #: A literal as (start, end, value) and whether it was quoted.
@@ -95,23 +97,28 @@ def value_weight(value: str, quoted: bool) -> float:
     return 0.1 * quoted + 0.1 * (classes >= 2) + 0.1 * (classes >= 3 or len(value) >= 16) + 0.1 * (entropy(value) >= 2.8)
 
 
-def _literals(rest: str, at: int, constants: dict[str, list[Literal]]) -> list[Literal]:
-    """The literals of a right-hand side of terms joined by ``+``, ``.`` or nothing, constants put in."""
+def _literals(text: str, pos: int, end: int, constants: dict[str, list[Literal]]) -> list[Literal]:
+    """The literals of a right-hand side of terms joined by ``+`` or ``.``, and of strings side by side, constants put in."""
     out: list[Literal] = []
-    pos = 0
-    while m := _TERM.match(rest, pos):
+    while m := _TERM.match(text, pos, end):
+        pos, joined = m.end(), False
         if m["string"] is not None:
-            start = at + m.start("inside")
-            out.append((start, start + len(m["inside"]), m["inside"], True))
+            out.append((m.start("inside"), m.end("inside"), m["inside"], True))
+            joined = _STRING.match(text, pos, end) is not None
         else:
-            ref = _REFERENCE.match(m["word"])
+            word = m["word"]
+            if word.endswith(".") and _STRING.match(text, m.end("word"), end):  # a."b"
+                word, joined = word[:-1], True
+            ref = _REFERENCE.match(word)
             if ref and ref[1] in constants:
                 out.extend(constants[ref[1]])
             else:
-                start = at + m.start("word")
-                out.append((start, start + len(m["word"]), m["word"], False))
-        pos = m.end()
-        if pos < len(rest) and rest[pos] in "+":
+                out.append((m.start("word"), m.start("word") + len(word), word, False))
+        if joined:
+            continue
+        if text.startswith("+", pos, end):
+            pos += 1
+        elif (dot := _DOT.match(text, pos, end)) and (dot[1] in "\"'`$" or (ref := _REFERENCE.match(dot[1])) and ref[1] in constants):
             pos += 1
         else:
             break
@@ -124,17 +131,15 @@ def assigned_spans(text: str, least: float = 0.8) -> list[tuple[int, int, str]]:
         return []
     constants: dict[str, list[Literal]] = {}
     found: set[tuple[int, int, str]] = set()
-    at = 0
-    for line in text.split("\n"):
-        if ("=" in line or ":" in line) and (m := _LINE.match(line)):
-            literals = _literals(m["rest"], at + m.start("rest"), constants)
-            name = m["name"]
-            if literals and len(literals) <= 64:
-                constants[name] = literals
-            value = "".join(v for _, _, v, _ in literals)
-            if (weight := name_weight(name)) and weight + value_weight(value, any(q for *_, q in literals)) >= least - 1e-9:
-                found.update((s, e, "name") for s, e, _, _ in literals if e > s)
-        at += len(line) + 1
+    for m in _PAIR.finditer(text):
+        end = text.find("\n", m.end())
+        literals = _literals(text, m.end(), end if end >= 0 else len(text), constants)
+        names = [n.lstrip("$@") for n in (m["name"], m["kind"]) if n]  # in "x: y = ..." either may be the target
+        if literals and len(literals) <= 64:
+            constants.update((n, literals) for n in names)
+        value = "".join(v for _, _, v, _ in literals)
+        if (weight := max(map(name_weight, names))) and weight + value_weight(value, any(q for *_, q in literals)) >= least - 1e-9:
+            found.update((s, e, "name") for s, e, _, _ in literals if e > s)
     return ordered(found)
 
 

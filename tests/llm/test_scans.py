@@ -66,6 +66,25 @@ def test_assigned_names(text, found):
     assert [text[a:b] for a, b, k in secrets.assigned_spans(text)] == found
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ('{"user": "x", "pwd": "zaq12wsxCDE3"}', ["zaq12wsxCDE3"]),
+        ('connect("db", db_pwd="zaq12wsxCDE3", port=5432)', ["zaq12wsxCDE3"]),
+        ("A=1; DB_PWD=zaq12wsxCDE3", ["zaq12wsxCDE3"]),
+        ("docker run -e DB_PWD=zaq12wsxCDE3 --db-pwd=qwe45rtyDFG6 image", ["zaq12wsxCDE3", "qwe45rtyDFG6"]),
+        ('if on: k = "a1b2c3d4e5f6G7"\nand then clientSecretKey = k', ["a1b2c3d4e5f6G7"]),
+        ("url = 'Server=a;Pwd=zaq12wsxCDE3;Port=1'", ["zaq12wsxCDE3"]),
+        ('$a = "Zx9Q";\n$db_pwd = $a . "yT77qqw1";', ["Zx9Q", "yT77qqw1"]),
+        ('a = "Zx9Q"\nauth_token_value = a."yT77qqw1"', ["Zx9Q", "yT77qqw1"]),
+        ('f(auth_token_value="Zx9Q" "yT77qqw1")', ["Zx9Q", "yT77qqw1"]),
+        ("we said the pwd: see the wall. Then pwd != x1y2z3w4Q and Pwd::x1y2z3w4Q", []),
+    ],
+)
+def test_assignments_inside_lines(text, found):
+    assert [text[a:b] for a, b, k in secrets.assigned_spans(text)] == found
+
+
 def test_prose_has_no_assigned_secrets(texts):
     assert all(k != "name" for t in texts.values() for _, _, k in secrets.all_spans(t)[1])
 
