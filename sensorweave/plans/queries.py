@@ -534,10 +534,15 @@ def stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
 
 @query("SELECT vec_id::BIGINT AS sequence_id, vec_id * 3906250::BIGINT AS timestamp_ns, len(embedding)::BIGINT AS n_channels, round(list_sum([x::DOUBLE for x in embedding]), 5) AS total FROM embeddings")
 def corec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The frames written as a recording and scanned back in small splits."""
+    """The frames written as a recording and scanned back in small splits; all gaze frames must come back, too."""
     corec.register(spark)
     path = os.path.join(tempfile.mkdtemp(prefix="corec-"), "all.corec")
-    corec.write_corec(path, RATE, 60.0, views.eeg(spark, d), views.gaze(spark, d).where("idx < 100"))
+    corec.write_corec(path, RATE, 60.0, views.eeg(spark, d), views.gaze(spark, d))
+    back = spark.read.format("corec").options(section="gaze", framesPerPartition=8192).load(path)
+    frame = F.xxhash64("timestamp_ns", *[F.col(c).cast("float") for c in ("x", "y", "pupil_diameter")]).cast("decimal(20,0)")
+    sums = [df.agg(F.count(F.lit(1)), F.sum(frame)).first() for df in (views.gaze(spark, d), back)]
+    if sums[0] != sums[1]:
+        raise ValueError(f"gaze frames written {sums[0]}, read back {sums[1]}")
     got = spark.read.format("corec").option("framesPerPartition", 128).load(path)
     total = F.aggregate("channels", F.lit(0.0), lambda s, x: s + x.cast("double"))
     return got.select("sequence_id", "timestamp_ns", F.size("channels").cast("bigint").alias("n_channels"), F.round(total, 5).alias("total"))

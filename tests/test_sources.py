@@ -1,10 +1,11 @@
 import io
 import struct
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
 
-from sensorweave.plans import packets
+from sensorweave.plans import packets, queries
 from sensorweave.sources import arrays, corec, simulate, text
 
 
@@ -137,3 +138,15 @@ def test_file_is_little_endian(recording):
     with open(path, "rb") as f:
         f.seek(40 + 24)
         assert struct.unpack("<Qf", f.read(12)) == (3_906_250, pytest.approx(3.2))
+
+
+def test_recording_query_holds_all_gaze_frames(spark, sf, monkeypatch):
+    written = []
+
+    def write(path, *args):
+        corec.write_corec(path, *args)
+        written.append(corec.read_header(path).num_gaze_frames)
+
+    monkeypatch.setattr(queries, "corec", SimpleNamespace(register=corec.register, write_corec=write))
+    assert queries.corec_roundtrip(spark, sf).count() > 0
+    assert written == [spark.read.parquet(f"{sf}/events.parquet").count()] and written[0] > 100
