@@ -9,8 +9,10 @@ different seeds and variants give different ones.  At rate 0 the result equals
 the library's own.
 
 No piece joins a character that is no space to a following space, so a text is
-encoded word by word; words are remembered per variant, and new ones are encoded
-together, one agenda step of all of them at a time.  Characters without a piece
+encoded word by word.  The variant is the word's occurrence: its document's key
+and its place there.  Words are remembered without dropout, with the candidates
+that their agendas take; only occurrences where one of these is skipped are
+encoded anew, together, one agenda step of all of them at a time.  Characters without a piece
 become byte pieces.  Decoding joins the pieces' bytes: it gives the text back
 exactly, whatever was dropped.
 """
@@ -45,11 +47,11 @@ def default_model() -> str:
 class Pieces:
     """A merge model; ids are those of the model file."""
 
-    def __init__(self, model: str, rate: float = 0.1, seed: int = 1, variants: int = 4, limit: int = 250_000):
+    def __init__(self, model: str, rate: float = 0.1, seed: int = 1, limit: int = 250_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        self.rate, self.seed, self.variants, self.limit = rate, seed, variants, limit
+        self.rate, self.seed, self.limit = rate, seed, limit
         self.size = sp.vocab_size()
         special = {i for i in range(self.size) if sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)}
         self.byte_id = {int(sp.id_to_piece(i)[3:5], 16): i for i in range(self.size) if sp.is_byte(i)}
@@ -76,7 +78,13 @@ class Pieces:
         self.joins = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.pairs = pairs
         self.threshold = np.uint64(min(int(rate * 2**64), 2**64 - 1))
-        self.known: list[dict[str, bytes]] = [{} for _ in range(variants)]
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words without dropout: their numbers, ids, hashes, and the places of the candidates that their agendas take."""
+        self.number: dict[str, int] = {}
+        self.plain: list[bytes] = []
+        self.base, self.first_place, self.places = np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint64)
 
     @staticmethod
     def _ranks(scores: list[float]) -> list[int]:
@@ -87,16 +95,23 @@ class Pieces:
             last = s
         return out
 
-    def word_key(self, word: str, variant: int) -> int:
-        return xxhash.xxh3_64_intdigest(f"{self.seed}/{variant}/{word}".encode("utf-8", "surrogatepass"))
+    def word_hashes(self, words: list[str]) -> np.ndarray:
+        return np.array([xxhash.xxh3_64_intdigest(f"{self.seed}/{w}".encode("utf-8", "surrogatepass")) for w in words], np.uint64)
 
-    def _skipped(self, keys: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+    def word_keys(self, words: list[str], variants: list[int]) -> np.ndarray:
+        return mixed(self.word_hashes(words) ^ mixed(np.array(variants, np.uint64)))
+
+    @staticmethod
+    def _place_hashes(start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
         place = (start.astype(np.uint64) << np.uint64(42)) ^ (mid.astype(np.uint64) << np.uint64(21)) ^ end.astype(np.uint64)
-        return mixed(keys ^ mixed(place + np.uint64(0x9E3779B97F4A7C15))) < self.threshold
+        return mixed(place + np.uint64(0x9E3779B97F4A7C15))
+
+    def _skipped(self, keys: np.ndarray, start: np.ndarray, mid: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return mixed(keys ^ self._place_hashes(start, mid, end)) < self.threshold
 
-    def one_word(self, word: str, variant: int) -> list[int]:
-        """The agenda with a heap; symbols without a piece are given as -1 - code point."""
-        key = np.array([self.word_key(word, variant)], np.uint64)
+    def one_word(self, word: str, variant: int, taken: list | None = None) -> list[int]:
+        """The agenda with a heap; symbols without a piece are given as -1 - code point.  With ``taken``, places go there and none is skipped."""
+        key = self.word_keys([word], [variant])
         symbols = [int(self.first[ord(c)]) if self.first[ord(c)] >= 0 else -1 - ord(c) for c in word]
         n = len(symbols)
         start, end = list(range(n)), list(range(1, n + 1))
@@ -116,7 +131,9 @@ class Pieces:
             _, a, b, stop, joined = heapq.heappop(agenda)
             if not (alive[a] and alive[b]) or after[a] != b or end[b] != stop or self.pairs.get(symbols[a] * self.size + symbols[b]) != joined:
                 continue
-            if self.rate > 0 and self._skipped(key, np.array([start[a]]), np.array([start[b]]), np.array([stop]))[0]:
+            if taken is not None:
+                taken.append((start[a], start[b], stop))
+            elif self.rate > 0 and self._skipped(key, np.array([start[a]]), np.array([start[b]]), np.array([stop]))[0]:
                 continue
             symbols[a], end[a], alive[b], after[a] = joined, stop, False, after[b]
             if after[b] >= 0:
@@ -131,8 +148,8 @@ class Pieces:
         at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
         return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.joins[at], np.int32(-1))
 
-    def many_words(self, words: list[tuple[str, int]]) -> list[bytes]:
-        """Ids of many words of at most ``_LONG`` characters: their agendas, one step of each at a time."""
+    def many_words(self, words: list[tuple[str, int]], taken: list | None = None) -> list[bytes]:
+        """Ids of many words of at most ``_LONG`` characters: their agendas, one step of each at a time; ``taken`` as above, with word numbers."""
         n = len(words)
         lengths = np.array([len(w) for w, _ in words])
         width = int(lengths.max()) + 1
@@ -143,7 +160,7 @@ class Pieces:
         symbols[inside] = np.where(first >= 0, first, -1 - points)
         starts = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
         starts = np.minimum(starts, lengths[:, None].astype(np.int32))
-        keys = np.array([self.word_key(w, v) for w, v in words], np.uint64)
+        keys = self.word_keys(*zip(*words, strict=True))
         joined = np.full((n, width), -1, np.int32)
         joined[:, :-1] = self._joined(symbols[:, :-1], symbols[:, 1:])
         order = np.where(joined >= 0, self.rank[joined], _NEVER)
@@ -163,7 +180,9 @@ class Pieces:
                 row = np.arange(len(left))
                 if not len(left):
                     break
-            if self.rate > 0:
+            if taken is not None:
+                taken.append((left[row], starts[row, at], starts[row, at + 1], starts[row, np.minimum(at + 2, width - 1)]))
+            elif self.rate > 0:
                 skip = self._skipped(keys, starts[row, at], starts[row, at + 1], starts[row, np.minimum(at + 2, width - 1)])
                 order[row[skip], at[skip]] = _NEVER
                 row, at = row[~skip], at[~skip]
@@ -189,13 +208,29 @@ class Pieces:
             ids.extend([s] if s >= 0 else [self.byte_id[b] for b in chr(-1 - s).encode("utf-8", "surrogatepass")])
         return np.array(ids, "<u4").tobytes()
 
-    def _learn(self, missing: list[tuple[str, int]]) -> dict[tuple[str, int], bytes]:
-        short = [m for m in missing if len(m[0]) <= _LONG]
-        got = {m: self._bytes(self.one_word(*m)) for m in missing if len(m[0]) > _LONG}
+    def _learn(self, new: list[str]) -> None:
+        """Remember words without dropout."""
+        ids: dict[str, bytes] = {}
+        owners, places = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+        at = {w: i for i, w in enumerate(new)}
+        for w in (w for w in new if len(w) > _LONG):
+            taken: list = []
+            ids[w] = self._bytes(self.one_word(w, 0, taken))
+            if taken:
+                owners.append(np.full(len(taken), at[w])), places.append(self._place_hashes(*np.array(taken).T))
+        short = [w for w in new if len(w) <= _LONG]
         for lo in range(0, len(short), 4096):
-            part = short[lo : lo + 4096]
-            got.update(zip(part, self.many_words(part), strict=True))
-        return got
+            part, taken = short[lo : lo + 4096], []
+            ids.update(zip(part, self.many_words([(w, 0) for w in part], taken), strict=True))
+            numbers = np.array([at[w] for w in part])
+            for own, *place in taken:
+                owners.append(numbers[own]), places.append(self._place_hashes(*place))
+        owner = np.concatenate(owners)
+        self.places = np.concatenate([self.places, np.concatenate(places)[np.argsort(owner, kind="stable")]])
+        self.first_place = np.concatenate([self.first_place, self.first_place[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
+        self.base = np.concatenate([self.base, self.word_hashes(new)])
+        self.number.update((w, len(self.plain) + i) for i, w in enumerate(new))
+        self.plain.extend(map(ids.__getitem__, new))
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -207,26 +242,39 @@ class Pieces:
         return (" " + text).replace(" ", "\x01 ").split("\x01")[1:]
 
     def encode_many(self, keys: list[int], texts: list[str]) -> list[bytes]:
-        """Little-endian uint32 ids of each text; ``keys`` shift which variant each word gets."""
-        n = self.variants
-        cut = []
-        missing: set[tuple[str, int]] = set()
-        for key, text in zip(keys, texts, strict=True):
-            words = self.words(text)
-            parts: list[bytes | None] = [None] * len(words)
-            for v in range(min(n, len(words))):
-                parts[v::n] = list(map(self.known[(key + v) % n].get, words[v::n]))
-            holes = [i for i, p in enumerate(parts) if p is None] if None in parts else []
-            missing.update([(words[i], (key + i) % n) for i in holes])
-            cut.append((key, words, parts, holes))
-        got = self._learn(list(missing))
-        for key, words, parts, holes in cut:
-            for i in holes:
-                parts[i] = got[words[i], (key + i) % n]
-        for (word, variant), ids in got.items():
-            if len(self.known[variant]) < self.limit:
-                self.known[variant][word] = ids
-        return [b"".join(parts) for _, _, parts, _ in cut]
+        """Little-endian uint32 ids of each text; each word's dropout follows from the text's key and its place there.
+
+        A word whose agenda without dropout has no candidate skipped is as
+        remembered; the others' agendas run anew, occurrence by occurrence.
+        """
+        cut = [self.words(text) for text in texts]
+        flat = [w for words in cut for w in words]
+        if not flat:
+            return [b"" for _ in texts]
+        if len(self.number) > self.limit:
+            self._forget()
+        if new := [w for w in dict.fromkeys(flat) if w not in self.number]:
+            self._learn(new)
+        number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
+        parts = list(map(self.plain.__getitem__, number.tolist()))
+        if self.rate > 0:
+            lengths = np.array([len(words) for words in cut])
+            places = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+            variants = mixed(np.repeat(mixed(np.array(keys, np.uint64) + np.uint64(1)), lengths) + places.astype(np.uint64))
+            drops = mixed(self.base[number] ^ mixed(variants))
+            first, n = self.first_place[number], self.first_place[number + 1] - self.first_place[number]
+            own = np.repeat(np.arange(len(flat)), n)
+            at = np.arange(len(own)) + np.repeat(first - (np.cumsum(n) - n), n)
+            hit = np.unique(own[mixed(drops[own] ^ self.places[at]) < self.threshold]).tolist()
+            short = [i for i in hit if len(flat[i]) <= _LONG]
+            for i in (i for i in hit if len(flat[i]) > _LONG):
+                parts[i] = self._bytes(self.one_word(flat[i], int(variants[i])))
+            for lo in range(0, len(short), 4096):
+                some = short[lo : lo + 4096]
+                for i, ids in zip(some, self.many_words([(flat[i], int(variants[i])) for i in some]), strict=True):
+                    parts[i] = ids
+        ends = np.cumsum([len(words) for words in cut]).tolist()
+        return [b"".join(parts[end - len(words) : end]) for words, end in zip(cut, ends, strict=True)]
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         return np.frombuffer(self.encode_many([key], [text])[0], "<u4").tolist()
@@ -236,22 +284,22 @@ class Pieces:
         return b"".join(map(self.content.__getitem__, ids)).decode("utf-8", "surrogatepass")[1:]
 
 
-def pieces(model: str, rate: float, seed: int, variants: int) -> Pieces:
+def pieces(model: str, rate: float, seed: int) -> Pieces:
     """The model of this worker process, which keeps its words from task to task."""
-    return kept(("pieces", model, rate, seed, variants), lambda: Pieces(model, rate, seed, variants))
+    return kept(("pieces", model, rate, seed), lambda: Pieces(model, rate, seed))
 
 
-def piece_report(docs: DataFrame, model: str | None = None, rate: float = 0.1, seed: int = 1, variants: int = 4) -> DataFrame:
+def piece_report(docs: DataFrame, model: str | None = None, rate: float = 0.1, seed: int = 1) -> DataFrame:
     """doc_id, n_tokens, n_chars, ids_crc32 and whether decoding gave the text back, for every row.
 
-    Null and empty texts have no tokens.  A document's words take turns through
-    the variants, from one that its text's checksum names, so equal texts are
-    segmented alike whatever their ids.
+    Null and empty texts have no tokens.  A word's dropout follows from its
+    text's checksum and its place there, so equal texts are segmented alike
+    whatever their ids.
     """
     model = model or default_model()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = pieces(model, rate, seed, variants)
+        coder = pieces(model, rate, seed)
         for ids, texts in text_batches(batches):
             keys = [zlib.crc32(t.encode("utf-8", "surrogatepass")) for t in texts]
             encoded = coder.encode_many(keys, texts)

@@ -65,3 +65,22 @@ def test_report(spark, documents, texts, odd, none, odd_rows):
     assert pieces.piece_report(none).count() == 0
     twins = pieces.piece_report(table(spark, [(1, "some words here"), (99, "some words here")])).collect()
     assert twins[0].ids_crc32 == twins[1].ids_crc32 and np.unique([r.n_tokens for r in twins]).size == 1
+
+
+def test_each_occurrence_has_its_own_dropout():
+    model = Pieces(default_model(), rate=0.1)
+    word = "internationalization"
+    ids = {tuple(model.encode(f"{word} " * 400, key)[:-1]) for key in range(3)}
+    assert len(ids) == 3
+    seen = {tuple(model.encode_many([k], [word])[0]) for k in range(400)}
+    assert len(seen) > 8
+
+
+def test_remembered_words_equal_their_agendas():
+    model = Pieces(default_model(), rate=0.1)
+    text = "the internationalization of " + "supercalifragilistic" * 2 + " the thing " * 20
+    same = Pieces(default_model(), rate=0.1)
+    places = [xs for xs in same.words(text)]
+    variants = pieces.mixed(np.repeat(pieces.mixed(np.array([7], np.uint64) + np.uint64(1)), len(places)) + np.arange(len(places), dtype=np.uint64))
+    want = [i for w, v in zip(places, variants.tolist(), strict=True) for i in np.frombuffer(same._bytes(same.one_word(w, v)), "<u4").tolist()]
+    assert model.encode(text, 7) == want
