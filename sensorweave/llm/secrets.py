@@ -97,9 +97,9 @@ def value_weight(value: str, quoted: bool) -> float:
     return 0.1 * quoted + 0.1 * (classes >= 2) + 0.1 * (classes >= 3 or len(value) >= 16) + 0.1 * (entropy(value) >= 2.8)
 
 
-def _literals(text: str, pos: int, end: int, constants: dict[str, list[Literal]]) -> list[Literal]:
-    """The literals of a right-hand side of terms joined by ``+`` or ``.``, and of strings side by side, constants put in."""
-    out: list[Literal] = []
+def _literals(text: str, pos: int, end: int, constants: dict[str, list]) -> list:
+    """The literals of a right-hand side of terms joined by ``+`` or ``.``, and of strings side by side; a constant is held as its own list."""
+    out: list = []
     while m := _TERM.match(text, pos, end):
         pos, joined = m.end(), False
         if m["string"] is not None:
@@ -111,7 +111,7 @@ def _literals(text: str, pos: int, end: int, constants: dict[str, list[Literal]]
                 word, joined = word[:-1], True
             ref = _REFERENCE.match(word)
             if ref and ref[1] in constants:
-                out.extend(constants[ref[1]])
+                out.append(constants[ref[1]])
             else:
                 out.append((m.start("word"), m.start("word") + len(word), word, False))
         if joined:
@@ -125,21 +125,41 @@ def _literals(text: str, pos: int, end: int, constants: dict[str, list[Literal]]
     return out
 
 
+def _flat(terms: list) -> list[Literal]:
+    """The literals of terms and of the constants among them, in order, each constant once."""
+    out: list[Literal] = []
+    seen = {id(terms)}
+    stack = [iter(terms)]
+    while stack:
+        for term in stack[-1]:
+            if isinstance(term, tuple):
+                out.append(term)
+            elif id(term) not in seen:
+                seen.add(id(term))
+                stack.append(iter(term))
+                break
+        else:
+            stack.pop()
+    return out
+
+
 def assigned_spans(text: str, least: float = 0.8) -> list[tuple[int, int, str]]:
     """Literals whose assignment, direct or through constants, scores ``least`` or more."""
     if "=" not in text and ":" not in text:
         return []
-    constants: dict[str, list[Literal]] = {}
+    constants: dict[str, list] = {}  # of literals and of earlier constants' lists, so that growing ones stay small
     found: set[tuple[int, int, str]] = set()
     for m in _PAIR.finditer(text):
         end = text.find("\n", m.end())
-        literals = _literals(text, m.end(), end if end >= 0 else len(text), constants)
+        terms = _literals(text, m.end(), end if end >= 0 else len(text), constants)
         names = [n.lstrip("$@") for n in (m["name"], m["kind"]) if n]  # in "x: y = ..." either may be the target
-        if literals and len(literals) <= 64:
-            constants.update((n, literals) for n in names)
-        value = "".join(v for _, _, v, _ in literals)
-        if (weight := max(map(name_weight, names))) and weight + value_weight(value, any(q for *_, q in literals)) >= least - 1e-9:
-            found.update((s, e, "name") for s, e, _, _ in literals if e > s)
+        if terms:
+            constants.update((n, terms) for n in names)
+        if weight := max(map(name_weight, names)):
+            literals = _flat(terms)
+            value = "".join(v for _, _, v, _ in literals)
+            if weight + value_weight(value, any(q for *_, q in literals)) >= least - 1e-9:
+                found.update((s, e, "name") for s, e, _, _ in literals if e > s)
     return ordered(found)
 
 

@@ -85,6 +85,16 @@ def test_assignments_inside_lines(text, found):
     assert [text[a:b] for a, b, k in secrets.assigned_spans(text)] == found
 
 
+def test_constants_of_many_literals_are_whole():
+    parts = [f"aB{i}x" for i in range(100)]
+    grown = 'k = "old"\nk = "start1"\n' + "".join(f'k = k + "{x}"\n' for x in parts) + "db_pwd = k"
+    assert [grown[a:b] for a, b, _ in secrets.assigned_spans(grown)] == ["start1", *parts]
+    line = 'k = "old"\nk = ' + " + ".join(f'"{x}"' for x in parts) + "\ndb_pwd = k"
+    assert [line[a:b] for a, b, _ in secrets.assigned_spans(line)] == parts
+    doubled = 'a = "zaq12wsxCDE3"\n' + "a = a + a\n" * 200 + "db_pwd = a"
+    assert [doubled[a:b] for a, b, _ in secrets.assigned_spans(doubled)] == ["zaq12wsxCDE3"]
+
+
 def test_prose_has_no_assigned_secrets(texts):
     assert all(k != "name" for t in texts.values() for _, _, k in secrets.all_spans(t)[1])
 
