@@ -29,6 +29,14 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def fresh(name: str, df: DataFrame) -> str:
+    """``name``, with as many underscores behind as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def _settable(spark: SparkSession) -> bool:
     return spark.conf.isModifiable("spark.checkpoint.dir")
 
@@ -37,12 +45,25 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back."""
     spark = df.sparkSession
     path = shared_folder(spark, label)
-    df.write.parquet(path)
+    with _shuffles_removed(spark):
+        df.write.parquet(path)
     if _open:
         _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run inside go when it ends: what is written needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def forget(df: DataFrame) -> None:
     """Remove a written table that nothing reads any more."""
     spark = df.sparkSession

@@ -22,7 +22,7 @@ from functools import cached_property
 
 import numpy as np
 
-from .words import mixed
+from .words import Powers
 from .workers import kept
 
 END_ID = 0
@@ -113,25 +113,6 @@ def _grown(a: np.ndarray, n: int) -> np.ndarray:
     return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
 
 
-class Powers:
-    """Powers of an odd number and of its inverse modulo 2**64, as far as needed."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = base, pow(base, -1, 1 << 64)
-        self.up = self.down = np.ones(1, np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > len(self.up):
-            self.up, self.down = (np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n, b, np.uint64)])) for b in (self.base, self.inverse))
-        return self.up, self.down
-
-    def hashes(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of the stretches [start, end) of ``data`` (numbers as unsigned 64-bit), wherever they stand."""
-        up, down = self.upto(len(data))
-        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(data * up[: len(data)], dtype=np.uint64)])
-        return mixed((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
 #: Texts are taken together, and longer ones apart, up to about so many bytes.
 TOGETHER = 1 << 19
 
