@@ -9,22 +9,27 @@ at e,
     f(e) = penalty(e) + capacity - e + min over e - capacity <= s < e of (f(s) + s)
 
 whose minimum over a sliding range of s comes from a monotone queue, so a stream
-of n candidate cuts takes O(n).  The last window of a stream is written as
-windows of power-of-two lengths, which need no padding, where that is cheaper.
+of n candidate cuts takes O(n).  The recurrence runs over the whole stream: a cut
+is given out as soon as all candidates that can still be followed lead back to
+it, so what is held are the ids since then, whatever the blocks they come in.
+The last window of a stream is written as windows of power-of-two lengths, which
+need no padding, where that is cheaper.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .token_files import text_batches
+from .token_files import by_id, text_batches
 from .tokens import END_ID, default_vocabulary, encoder
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -38,32 +43,71 @@ class Costs:
     stride: int = 64
 
 
-def best_cuts(ends: list[int], penalties: list[int], capacity: int) -> list[int]:
-    """Cut positions (the last of ``ends`` included) of least padding plus penalties.
+class Cutter:
+    """The recurrence over a stream that comes in parts.
 
-    ``ends`` ascends from above 0 and no two neighbours, 0 included, lie more
-    than ``capacity`` apart.  Of equal costs the earlier start wins.
+    Of starts of equal cost the later one is taken: then the ways to the
+    candidates soon run together.
     """
-    at = [0, *ends]
-    n = len(at)
-    keys, back, queue = [0] * n, [0] * n, [0] * n  # keys: f(e) + e; queue[head:tail] holds candidates of rising keys
-    head, tail = 0, 1
-    for j in range(1, n):
-        least = at[j] - capacity
-        while at[queue[head]] < least:
-            head += 1
-        i = queue[head]
-        back[j] = i
-        keys[j] = key = keys[i] + capacity + penalties[j - 1]
-        while tail > head and keys[queue[tail - 1]] > key:
-            tail -= 1
-        queue[tail] = j
-        tail += 1
-    cuts, j = [], len(at) - 1
-    while j:
-        cuts.append(at[j])
-        j = back[j]
-    return cuts[::-1]
+
+    def __init__(self, capacity: int):
+        self.capacity = capacity
+        self.at, self.keys, self.back = [0], [0], [0]  # keys: f(e) + e
+        self.queue = deque([0])  # candidates of rising keys
+
+    def extend(self, ends: list[int], penalties: list[int]) -> None:
+        """``ends`` ascend from above the last one and no two neighbours lie more than ``capacity`` apart."""
+        at, keys, back, queue, capacity = self.at, self.keys, self.back, self.queue, self.capacity
+        for end, penalty in zip(ends, penalties, strict=True):
+            while at[queue[0]] < end - capacity:
+                queue.popleft()
+            i = queue[0]
+            key = keys[i] + capacity + penalty
+            while queue and keys[queue[-1]] >= key:
+                queue.pop()
+            queue.append(len(at))
+            at.append(end), keys.append(key), back.append(i)
+
+    def _path(self, j: int) -> list[int]:
+        cuts = []
+        while j:
+            cuts.append(self.at[j])
+            j = self.back[j]
+        return cuts[::-1]
+
+    def _restart(self, j: int) -> None:
+        self.at, self.keys = self.at[j:], [k - self.keys[j] for k in self.keys[j:]]
+        self.back = [0, *(max(b - j, 0) for b in self.back[j + 1 :])]
+
+    def settled(self) -> list[int]:
+        """Cuts that every way on shares; the stream goes on behind the last of them."""
+        alive = [-j for j in self.queue]
+        heapify(alive)
+        while len(alive) > 1:
+            j = -heappop(alive)
+            if j != -alive[0]:
+                heappush(alive, -self.back[j])
+        j = -alive[0]
+        cuts = self._path(j)
+        if cuts:
+            self._restart(j)
+            self.queue = deque(i - j for i in self.queue)
+        return cuts
+
+    def rest(self) -> list[int]:
+        """Cuts of the best way to the last end; a stream that goes on starts there."""
+        j = len(self.at) - 1
+        cuts = self._path(j)
+        self._restart(j)
+        self.queue = deque([0])
+        return cuts
+
+
+def best_cuts(ends: list[int], penalties: list[int], capacity: int) -> list[int]:
+    """Cut positions (the last of ``ends`` included) of least padding plus penalties."""
+    cutter = Cutter(capacity)
+    cutter.extend(ends, penalties)
+    return cutter.rest()
 
 
 def candidates(ids: np.ndarray, doc_ends: np.ndarray, sentence_end: np.ndarray, costs: Costs) -> tuple[list[int], list[int]]:
@@ -89,60 +133,69 @@ def last_windows(length: int, costs: Costs) -> list[int]:
 
 
 class Packer:
-    """Takes documents in order and gives the pieces of finished windows."""
+    """Takes documents in order and gives the pieces of finished windows.
 
-    def __init__(self, sentence_end: np.ndarray, costs: Costs, first_sequence: int, block: int = 1 << 17):
-        self.sentence_end, self.costs, self.sequence, self.block = sentence_end, costs, first_sequence, block
-        self.parts: list[tuple[int | None, int, int, np.ndarray]] = []
-        self.held = 0
+    ``block`` ids are taken into the recurrence together, which changes nothing
+    in the result.  Only a stream of which ``most`` ids are held without a
+    settled cut (lengths that fall into step with the windows for long, or one
+    document of that many ids) is cut along the best way so far.
+    """
+
+    def __init__(self, sentence_end: np.ndarray, costs: Costs, first_sequence: int, block: int = 1 << 17, most: int = 1 << 25):
+        self.sentence_end, self.costs, self.sequence, self.block, self.most = sentence_end, costs, first_sequence, block, most
+        self.cutter = Cutter(costs.capacity)
+        self.new: list[np.ndarray] = []
+        self.parts: deque[tuple[int | None, int, int, np.ndarray]] = deque()  # doc_id, ids given out, all ids, ids left
+        self.cut = self.end = self.seen = 0  # places in the stream: last cut, all ids, those in the recurrence
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> Iterator[tuple]:
         self.parts.append((doc_id, 0, len(ids), ids))
-        self.held += len(ids)
-        if self.held >= self.block:
-            yield from self._pack(False)
+        self.new.append(ids)
+        self.end += len(ids)
+        if self.end - self.seen >= self.block:
+            self._extend()
+            yield from self._pieces(self.cutter.settled())
+            if self.end - self.cut > self.most:
+                yield from self._pieces(self.cutter.rest())
 
     def finish(self) -> Iterator[tuple]:
-        if self.parts:
-            yield from self._pack(True)
-
-    def _pack(self, final: bool) -> Iterator[tuple]:
-        stream = np.concatenate([p[3] for p in self.parts])
-        doc_ends = np.cumsum([len(p[3]) for p in self.parts])
-        ends, penalties = candidates(stream, doc_ends, self.sentence_end, self.costs)
-        cuts = best_cuts(ends, penalties, self.costs.capacity)
-        if final:
-            start = cuts[-2] if len(cuts) > 1 else 0
+        if self.new:
+            self._extend()
+        cuts = self.cutter.rest()
+        if cuts:
+            start = cuts[-2] if len(cuts) > 1 else self.cut
             cuts = [*cuts[:-1], *(start + np.cumsum(last_windows(cuts[-1] - start, self.costs))).tolist()]
-        else:
-            cuts = cuts[:-1]  # the stream goes on: the last window may still grow
-        part, lo = 0, 0
+        yield from self._pieces(cuts)
+
+    def _extend(self) -> None:
+        doc_ends = np.cumsum([len(x) for x in self.new])
+        ends, penalties = candidates(np.concatenate(self.new), doc_ends, self.sentence_end, self.costs)
+        self.cutter.extend([self.seen + e for e in ends], penalties)
+        self.new, self.seen = [], self.end
+
+    def _pieces(self, cuts: list[int]) -> Iterator[tuple]:
         for cut in cuts:
             offset = 0
-            while lo < cut:
-                doc_id, skipped, total, ids = self.parts[part]
-                begin = int(doc_ends[part]) - len(ids)
-                hi = min(cut, int(doc_ends[part]))
-                yield doc_id, skipped + lo - begin, hi - lo, zlib.crc32(stream[lo:hi].tobytes()), total, self.sequence, offset
-                offset += hi - lo
-                lo = hi
-                part += hi == doc_ends[part]
+            while self.cut < cut:
+                doc_id, given, total, ids = self.parts[0]
+                n = min(cut - self.cut, len(ids))
+                yield doc_id, given, n, zlib.crc32(ids[:n].tobytes()), total, self.sequence, offset
+                offset += n
+                self.cut += n
+                if n < len(ids):
+                    self.parts[0] = (doc_id, given + n, total, ids[n:])
+                else:
+                    self.parts.popleft()
             self.sequence += 1
-        rest = self.parts[part:]
-        if rest:
-            doc_id, skipped, total, ids = rest[0]
-            gone = lo - (int(doc_ends[part]) - len(ids))
-            rest[0] = (doc_id, skipped + gone, total, ids[gone:])
-        self.parts, self.held = rest, len(stream) - lo
 
 
 def pack_documents(docs: DataFrame, costs: Costs = Costs(), vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Pieces of every document's ids, each with its sequence and offset there.
 
     A null or empty text is its end id alone.  Documents are taken in ascending
-    doc_id (nulls first, rows of one id by text).  A range partition is one
-    stream: windows never reach over into the next, and ``sequence_id`` is the
-    partition times 2**40 plus a count.  One block of ids is held at a time.
+    doc_id (nulls first, rows of one id by their text's hash).  A range partition
+    is one stream: windows never reach over into the next, and ``sequence_id`` is
+    the partition times 2**40 plus a count.
     """
     vocabulary = vocabulary or default_vocabulary()
 
@@ -163,5 +216,4 @@ def pack_documents(docs: DataFrame, costs: Costs = Costs(), vocabulary: str | No
         if rows := list(packer.finish()):
             yield table(rows)
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(pack, PIECES)
+    return by_id(docs).mapInArrow(pack, PIECES)

@@ -29,6 +29,13 @@ def shared_folder(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def more_partitions(df: DataFrame, each: int = 64 << 20) -> list[int]:
+    """[the number of partitions] that hold ``each`` bytes of ``df`` by the planner's estimate, or [] if the session's setting is as large."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    n = min(-(-size // each), 1 << 17)
+    return [n] if n > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else []
+
+
 def fresh(name: str, df: DataFrame) -> str:
     """``name``, with as many underscores behind as no column of ``df`` has."""
     taken = {c.lower() for c in df.columns}

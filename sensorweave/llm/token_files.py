@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import shared_folder, written
+from .shared import more_partitions, shared_folder, written
 from .tokens import END_ID, default_vocabulary, encoder
 
 #: Fixed values of the seekable zstandard format.
@@ -132,12 +132,24 @@ def text_batches(batches: Iterable[pa.RecordBatch], most: int = 1 << 20) -> Iter
             yield keys[lo:], held
 
 
+def by_id(docs: DataFrame) -> DataFrame:
+    """doc_id and text in ascending doc_id over all partitions, nulls first, rows of one id by their text's hash.
+
+    Equal rows are interchangeable and also numbered, so that however many of
+    them there are, they go to several tasks.  There are as many partitions as
+    the session asks for, or as the size of the input does if that is more.
+    """
+    keys = ["doc_id", "__hash", "__row"]
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("__hash"), F.monotonically_increasing_id().alias("__row"))
+    return keyed.repartitionByRange(*more_partitions(docs), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+
+
 def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Encode all texts and write them in ascending doc_id order; one manifest row a file.
 
     Files are named by attempt and count only through the manifest, which is
     written once: a repeated or speculative task leaves an unread file behind.
-    Null texts are empty, null ids come first, rows of one id go by their text.
+    Null texts are empty, null ids come first, rows of one id go by their text's hash.
     """
     vocabulary = vocabulary or default_vocabulary()
 
@@ -163,8 +175,7 @@ def write_token_files(docs: DataFrame, folder: str, vocabulary: str | None = Non
         else:
             fs.delete_file(f"{root}/{name}")
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return written(ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "token-manifest")
+    return written(by_id(docs).mapInArrow(write, "part long, file string, n_docs long, n_ids long"), "token-manifest")
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:

@@ -10,7 +10,9 @@ whole text (tests/llm/test_tokens.py).
 
 Chunks are cut, hashed (two 64-bit polynomials over their bytes, from running
 sums), looked up and replaced by their ids in numpy, a batch of texts at a time.
-A remembered chunk takes some 40 bytes, and at most ``limit`` are.
+What is found by hash is compared byte by byte; a text with a chunk that only
+shares another's hashes goes to the library whole.  A remembered chunk takes some
+40 bytes besides its own, and at most ``limit`` are.
 """
 
 from __future__ import annotations
@@ -47,7 +49,7 @@ _NEWLINE = _BYTE_LETTERS[10]
 
 
 class ChunkTable:
-    """Token ids by 128-bit hash: open addressing over entries of a growing array of ids."""
+    """Token ids by 128-bit hash: open addressing over entries of growing arrays of ids and of the chunks' bytes."""
 
     def __init__(self, limit: int):
         self.limit = limit
@@ -57,6 +59,8 @@ class ChunkTable:
         self.first, self.second = np.empty(limit, np.uint64), np.empty(limit, np.uint64)
         self.start, self.length = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.ids, self.n_ids = np.empty(1 << 14, np.uint32), 0
+        self.text_start, self.text_length = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
+        self.text, self.n_text = np.empty(1 << 14, np.uint8), 0
 
     def find(self, h: np.ndarray, g: np.ndarray) -> np.ndarray:
         """Entry of each hash pair, -1 where there is none."""
@@ -71,7 +75,15 @@ class ChunkTable:
             left, at = left[~same], (at[~same] + np.uint64(1)) & self.mask
         return out
 
-    def add(self, h: np.ndarray, g: np.ndarray, ids: list[bytes]) -> np.ndarray:
+    def holds(self, entries: np.ndarray, raw: np.ndarray, start: np.ndarray) -> np.ndarray:
+        """Whether each entry's bytes are those of its chunk; the chunks follow each other over all of ``raw``."""
+        lengths = np.diff(np.append(start, len(raw)))
+        fits = self.text_length[entries] == lengths
+        at = np.repeat(np.where(fits, self.text_start[entries], 0) - np.where(fits, start, 0), lengths)
+        at += np.arange(len(raw)) * np.repeat(fits, lengths)
+        return fits & ~np.logical_or.reduceat(self.text[at] != raw, start)
+
+    def add(self, h: np.ndarray, g: np.ndarray, ids: list[bytes], chunks: list[bytes]) -> np.ndarray:
         """Entries for new, different hash pairs; those beyond the limit hold until the next call only."""
         entries = np.arange(self.n, self.n + len(ids), dtype=np.int32)
         lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
@@ -82,10 +94,19 @@ class ChunkTable:
         self.start[entries] = self.n_ids + np.cumsum(lengths) - lengths
         self.length[entries] = lengths
         self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        sizes = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        text = np.frombuffer(b"".join(chunks), np.uint8)
+        self.text_start = _grown(self.text_start, self.n + len(ids))
+        self.text_length = _grown(self.text_length, self.n + len(ids))
+        self.text = _grown(self.text, self.n_text + len(text))
+        self.text_start[entries] = self.n_text + np.cumsum(sizes) - sizes
+        self.text_length[entries] = sizes
+        self.text[self.n_text : self.n_text + len(text)] = text
         keep = min(len(ids), self.limit - self.n)
         self._place(entries[:keep], h[:keep], g[:keep])
         self.n += keep
         self.n_ids += int(lengths[:keep].sum())
+        self.n_text += int(sizes[:keep].sum())
         return entries
 
     def _place(self, entries: np.ndarray, h: np.ndarray, g: np.ndarray) -> None:
@@ -227,11 +248,11 @@ class Encoder:
         if len(new):
             _, one, back = np.unique(h[new], return_index=True, return_inverse=True)
             at = new[one]
-            chunks = [data[a:b].decode("utf-8", "replace") for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            entries[new] = self.known.add(h[at], g[at], self._encoded(chunks))[back]
+            chunks = [data[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+            entries[new] = self.known.add(h[at], g[at], self._encoded([c.decode("utf-8", "replace") for c in chunks]), chunks)[back]
         ids, place = self.known.ids_of(entries)
         first = np.searchsorted(start, begins[:-1])
-        unsafe = np.logical_or.reduceat(self.known.length[entries] == 0, first)
+        unsafe = np.logical_or.reduceat((self.known.length[entries] == 0) | ~self.known.holds(entries, raw, start), first)
         at = place[np.append(first, len(start))].tolist()
         for k, (i, _) in enumerate(held):
             if not unsafe[k]:

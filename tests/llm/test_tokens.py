@@ -51,6 +51,20 @@ def test_long_texts(encoder, texts):
         assert encoder.encode(text) == encoder._library([text])[0]
 
 
+def thue_morse(n, letters):
+    return "".join(letters[bin(i).count("1") & 1] for i in range(n))
+
+
+def test_chunks_of_equal_hashes(library):
+    """Polynomials modulo 2**64 give a Thue-Morse word and its complement one hash, whatever their base."""
+    one, other = thue_morse(1024, "ab"), thue_morse(1024, "ba")
+    for batches in ([[one], [other]], [[other, one]], [[f"x {one} y", f"x {other} y", f"{one} {other}"]], [["a"], [one], ["b", other, one]]):
+        coder = Encoder(default_vocabulary(), limit=50)
+        for _ in range(2):
+            for batch in batches:
+                assert coder.encode_many(batch) == coder._library(batch)
+
+
 def test_table_of_chunks():
     rng = np.random.default_rng(1)
     table = tokens.ChunkTable(100)
@@ -58,7 +72,13 @@ def test_table_of_chunks():
     h, g = h + np.arange(300, dtype=np.uint64) * np.uint64(1 << 20), rng.integers(0, 2**63, 300, dtype=np.uint64)
     for lo in range(0, 300, 60):
         new = [np.full(k % 4, lo + k, "<u4").tobytes() for k in range(60)]
-        entries = table.add(h[lo : lo + 60], g[lo : lo + 60], new)
+        chunks = [b"x" * (k % 5 + 1) + bytes([k]) for k in range(60)]
+        entries = table.add(h[lo : lo + 60], g[lo : lo + 60], new, chunks)
+        start = np.cumsum([0, *map(len, chunks)])[:-1]
+        for k in (0, 7):
+            raw = np.frombuffer(b"".join([*chunks[:k], chunks[k][:-1] + b"?", *chunks[k + 1 :]]), np.uint8)
+            assert np.flatnonzero(~table.holds(entries, raw, start)).tolist() == [k]
+        assert np.flatnonzero(~table.holds(np.roll(entries, 5), raw, start)).tolist() == list(range(60))
         ids, begin = table.ids_of(entries)
         assert [ids[a:b].tobytes() for a, b in zip(begin, begin[1:], strict=False)] == new
     found = table.find(h, g)
@@ -134,6 +154,22 @@ def test_packing(documents, texts, library):
     assert pieces_hold(rows, {k: ids(library, t) for k, t in texts.items()}) < 0.05
 
 
+def test_hot_ids_and_few_partitions(spark, library):
+    """A third of all rows may have one id, or none: they are dealt to several tasks."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "same text" if i % 2 else f"text {i}") for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = token_files.by_id(docs).rdd.mapPartitions(lambda part: [sum(1 for _ in part)]).collect()
+        got = token_files.token_round_trip(docs).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert max(sizes) < 2.5 * 900 / len(sizes)
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
+    assert sorted((r.doc_id is None, r.doc_id or 0, r.ids_crc32) for r in got) == sorted((i is None, i or 0, crc(ids(library, t))) for i, t in rows)
+
+
 def test_packing_odd_rows(odd, none, odd_rows, library):
     distinct = {}
     for i, t in odd_rows:
@@ -171,6 +207,47 @@ def test_cuts_are_optimal():
         assert cost(ends, penalties, cuts, 12) == best_by_brute_force(ends, penalties, 12)
 
 
+def packed(docs, sentence_end, costs, **kwargs):
+    packer = packing.Packer(sentence_end, costs, 0, **kwargs)
+    return [x for i, d in enumerate(docs) for x in packer.add(i, d)] + list(packer.finish())
+
+
+def test_blocks_change_nothing():
+    rng = np.random.default_rng(6)
+    costs = packing.Costs(capacity=32, stride=8)
+    for trial in range(60):
+        sentence_end = rng.random(50) < 0.1
+        sizes = [8] * 100 if trial == 0 else rng.integers(1, (90, 12, 30)[trial % 3], 60)
+        docs = [rng.integers(0, 50, n).astype("<u4") for n in sizes]
+        whole = packed(docs, sentence_end, costs, block=1 << 20)
+        for block in (1, 20, 300):
+            assert packed(docs, sentence_end, costs, block=block) == whole
+        stream = np.concatenate(docs)
+        ends, penalties = packing.candidates(stream, np.cumsum(sizes), sentence_end, costs)
+        windows = {}
+        for _, _, length, _, _, sequence, _ in whole:
+            windows[sequence] = windows.get(sequence, 0) + length
+        cuts = np.cumsum([windows[k] for k in sorted(windows)]).tolist()
+        cuts = [c for c in cuts if c in set(ends)]
+        last = packing.last_windows(len(stream) - max([0, *(c for c in cuts if c < len(stream))]), costs)
+        if len(last) == 1:  # else the last window is written in parts, of other costs
+            assert cost(ends, penalties, cuts, 32) == best_by_brute_force(ends, penalties, 32)
+
+
+def test_settled_cuts_come_early():
+    """Equal lengths and endless sentences settle, too."""
+    costs = packing.Costs()
+    for sizes in ([64] * 40_000, [300, 724] * 3000, [1024] * 3000):
+        packer, most = packing.Packer(np.zeros(10, bool), costs, 0, block=1), 0
+        for i, n in enumerate(sizes):
+            list(packer.add(i, np.ones(n, "<u4")))
+            most = max(most, packer.end - packer.cut)
+        assert most <= 4 * costs.capacity
+    held = packing.Packer(np.zeros(10, bool), costs, 0, most=5000)
+    rows = [x for i in range(3) for x in held.add(i, np.ones(1 << 18, "<u4"))] + list(held.finish())
+    assert sum(r[2] for r in rows) == 3 << 18 and all(r[2] <= 1024 for r in rows)
+
+
 def test_last_window():
     costs = packing.Costs()
     assert packing.last_windows(512, costs) == [512]
