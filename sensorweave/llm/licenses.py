@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .shared import modest_batches
 from .words import WordHashes, grams
 from .workers import kept
 
@@ -172,6 +173,7 @@ def library(templates: tuple[tuple[str, str], ...], p: Bands) -> Library:
 def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, p: Bands = Bands()) -> DataFrame:
     """Verified templates of every text with their place; texts without one, or null, give no row."""
     shipped = tuple((templates or TEMPLATES).items())
+    modest_batches(docs.sparkSession)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lib = library(shipped, p)

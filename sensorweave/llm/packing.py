@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .shared import modest_batches
 from .token_files import by_id, text_batches
 from .tokens import END_ID, default_vocabulary, encoder
 
@@ -198,6 +199,7 @@ def pack_documents(docs: DataFrame, costs: Costs = Costs(), vocabulary: str | No
     the partition times 2**40 plus a count.
     """
     vocabulary = vocabulary or default_vocabulary()
+    modest_batches(docs.sparkSession)
 
     def pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(vocabulary)

@@ -29,6 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
+from .shared import modest_batches
 from .token_files import text_batches
 from .words import mixed
 from .workers import kept
@@ -297,6 +298,7 @@ def piece_report(docs: DataFrame, model: str | None = None, rate: float = 0.1, s
     whatever their ids.
     """
     model = model or default_model()
+    modest_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(model, rate, seed)

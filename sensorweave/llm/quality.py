@@ -52,23 +52,23 @@ def _joined(lines: str) -> Column:
     return F.array_join(F.col(lines), "\n")
 
 
-def with_measures(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with array and count columns, all named ``__*``; stages are kept apart so that no array is built twice."""
-    df = df.withColumn("__text", F.coalesce(F.col(text), F.lit("")))
-    df = df.withColumn("__trimmed", F.btrim("__text", F.lit(WHITE)))
-    df = df.withColumn("__words", F.split("__trimmed", SPACE + "+")).withColumn("__all_lines", F.split("__text", "\n"))
-    df = df.withColumn("__n_words", F.when(F.col("__trimmed") == "", 0).otherwise(F.size("__words")).cast("long"))
-    df = df.withColumn("__lines", F.filter("__all_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    windows = F.transform(F.sequence(F.lit(0), F.size("__words") - 3), lambda i: F.xxhash64(F.col("__words")[i], F.col("__words")[i + 1], F.col("__words")[i + 2]))
-    return df.withColumn("__windows", F.when(F.size("__words") < 4, F.array().cast("array<bigint>")).otherwise(windows))
+def with_measures(docs: DataFrame) -> DataFrame:
+    """``row`` (all columns of ``docs``, whatever their names), ``text`` and its arrays; steps are kept apart so that no array is built twice."""
+    df = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    df = df.withColumn("trimmed", F.btrim("text", F.lit(WHITE)))
+    df = df.withColumn("words", F.split("trimmed", SPACE + "+")).withColumn("all_lines", F.split("text", "\n"))
+    df = df.withColumn("n_words", F.when(F.col("trimmed") == "", 0).otherwise(F.size("words")).cast("long"))
+    df = df.withColumn("lines", F.filter("all_lines", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    windows = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.col("words")[i], F.col("words")[i + 1], F.col("words")[i + 2]))
+    return df.withColumn("windows", F.when(F.size("words") < 4, F.array().cast("array<bigint>")).otherwise(windows))
 
 
 def with_repeats(df: DataFrame) -> DataFrame:
-    """``__n_repeat``: words in some three-word window that the text holds twice or more."""
-    repeated = F.size(F.array_distinct("__windows")) < F.size("__windows")
-    by_hash = F.sort_array(F.transform("__windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    df = df.withColumn("__by_hash", F.when(repeated, by_hash))
-    e = F.col("__by_hash")
+    """``n_repeat_words``: words in some three-word window that the text holds twice or more."""
+    repeated = F.size(F.array_distinct("windows")) < F.size("windows")
+    by_hash = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    df = df.withColumn("by_hash", F.when(repeated, by_hash))
+    e = F.col("by_hash")
     n = F.size(e)
 
     def has_twin(x: Column, k: Column) -> Column:
@@ -83,44 +83,48 @@ def with_repeats(df: DataFrame) -> DataFrame:
         lambda a, p: F.struct(p.alias("last"), (a["n"] + F.least(F.lit(3), p - a["last"])).alias("n")),
         lambda a: a["n"],
     )
-    return df.withColumn("__n_repeat", F.coalesce(F.when(e.isNotNull(), covered), F.lit(0)).cast("long"))
+    return df.withColumn("n_repeat_words", F.coalesce(F.when(e.isNotNull(), covered), F.lit(0)).cast("long"))
 
 
-def judged(df: DataFrame, text: str = "text", min_words: int = 50, most_repeat_percent: int = 50, most_lost_percent: int = 30) -> DataFrame:
-    """``df`` with ``__good`` (passing and blank lines), the measures, ``__base_failed`` and ``__kept``."""
-    df = with_repeats(with_measures(df, text))
-    df = df.withColumn("__good", F.filter("__all_lines", lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x)))
-    df = df.withColumn("__held", F.length(_joined("__lines"))).withColumn("__left", F.length(F.array_join(F.filter("__good", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "\n")))
-    failed = (F.col("__n_words") < min_words) | (100 * F.col("__n_repeat") > most_repeat_percent * F.col("__n_words"))
-    df = df.withColumn("__base_failed", failed)
-    df = df.withColumn("__kept", ~F.col("__base_failed") & (100 * (F.col("__held") - F.col("__left")) <= most_lost_percent * F.col("__held")))
-    return fenced(df)
+def judged(docs: DataFrame, wanted: list[Column], min_words: int = 50, most_repeat_percent: int = 50, most_lost_percent: int = 30) -> DataFrame:
+    """``wanted`` of the measures, ``good`` (passing and blank lines), ``base_failed`` and ``kept``.
 
-
-def fenced(df: DataFrame) -> DataFrame:
-    """The same rows behind a generator: a filter above is not pushed down into the stages, which it would unfold into one expression."""
-    return df.select(F.inline(F.array(F.struct(*[F.col(f"`{c}`") for c in df.columns]))))
+    They stand behind a generator: a filter above is not pushed down into the
+    steps, which it would unfold into one expression.
+    """
+    df = with_repeats(with_measures(docs))
+    df = df.withColumn("good", F.filter("all_lines", lambda x: ~x.rlike(r"[^\x20\x09-\x0D]") | line_passes(x)))
+    df = df.withColumn("held", F.length(_joined("lines"))).withColumn("left", F.length(F.array_join(F.filter("good", lambda x: x.rlike(r"[^\x20\x09-\x0D]")), "\n")))
+    failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > most_repeat_percent * F.col("n_words"))
+    df = df.withColumn("base_failed", failed)
+    df = df.withColumn("kept", ~F.col("base_failed") & (100 * (F.col("held") - F.col("left")) <= most_lost_percent * F.col("held")))
+    return df.select(F.inline(F.array(F.struct(*wanted))))
 
 
 def quality_report(docs: DataFrame, **limits: int) -> DataFrame:
     """doc_id, counts, base_failed and kept of every row; other columns of ``docs`` are not read."""
-    df = judged(docs.select("doc_id", "text"), **limits)
-    return df.select(
-        "doc_id",
-        F.col("__n_words").alias("n_words"),
-        F.when(F.col("__n_words") == 0, 0).otherwise(F.length(F.array_join("__words", ""))).cast("long").alias("word_chars"),
-        (F.size(F.split("__text", SYMBOLS, -1)) - 1).cast("long").alias("n_symbols"),
-        (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        F.col("__n_repeat").alias("n_repeat_words"),
-        F.col("__base_failed").alias("base_failed"),
-        F.col("__kept").alias("kept"),
-    )
+    wanted = [
+        F.col("row.doc_id").alias("doc_id"),
+        "n_words",
+        F.when(F.col("n_words") == 0, 0).otherwise(F.length(F.array_join("words", ""))).cast("long").alias("word_chars"),
+        (F.size(F.split("text", SYMBOLS, -1)) - 1).cast("long").alias("n_symbols"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        "n_repeat_words",
+        "base_failed",
+        "kept",
+    ]
+    return judged(docs.select("doc_id", "text"), wanted, **limits)
 
 
 def clean_documents(docs: DataFrame, **limits: int) -> DataFrame:
-    """Kept documents without their failing lines, in the columns of ``docs``; ``n_chars`` follows the text."""
-    cleaned = F.when(F.size("__good") == F.size("__all_lines"), F.col("text")).otherwise(_joined("__good"))
-    df = judged(docs, **limits).where("__kept").withColumn("text", cleaned)
+    """Kept documents without their failing lines, in the columns of ``docs``; ``n_chars`` follows the text.
+
+    Any other columns pass through, whatever they are called.
+    """
+    changed = F.size("good") != F.size("all_lines")
+    wanted = [F.col("row"), F.when(changed, _joined("good")).otherwise(F.col("row.text")).alias("cleaned"), changed.alias("changed"), F.col("kept")]
+    df = judged(docs, wanted, **limits).where("kept")
+    new = {"text": F.col("cleaned")}
     if "n_chars" in docs.columns:
-        df = df.withColumn("n_chars", F.when(F.size("__good") == F.size("__all_lines"), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return df.select(*[F.col(f"`{c}`") for c in docs.columns])
+        new["n_chars"] = F.when(F.col("changed"), F.length("cleaned")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return df.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -21,6 +21,7 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import modest_batches
 from .token_files import text_batches
 
 #: The base patterns, their least lengths, and the order of kinds.
@@ -186,6 +187,7 @@ def _written(spans: list[tuple[int, int, str]]) -> str:
 
 def secret_report(docs: DataFrame) -> DataFrame:
     """Span counts, digest and spans of every row; a null text is an empty one."""
+    modest_batches(docs.sparkSession)
 
     def scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in text_batches(batches):
@@ -203,6 +205,7 @@ def secret_report(docs: DataFrame) -> DataFrame:
 
 def redact_documents(docs: DataFrame) -> DataFrame:
     """``docs``, all rows and columns, with secrets replaced in ``text``; ``n_chars`` follows changed texts."""
+    modest_batches(docs.sparkSession)
     names = docs.columns
     at, n_at = names.index("text"), names.index("n_chars") if "n_chars" in names else None
 

@@ -52,6 +52,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back."""
     spark = df.sparkSession
     path = shared_folder(spark, label)
+    modest_batches(spark)
     with _shuffles_removed(spark):
         df.write.parquet(path)
     if _open:
@@ -59,6 +60,13 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def modest_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """From now on the session hands at most about ``most`` bytes of rows to Python at once, so that long texts come few at a time."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(key, "67108864b").rstrip("b")) > most:
+        spark.conf.set(key, most)
+
+
 @contextmanager
 def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what is run inside go when it ends: what is written needs them no more."""

@@ -1,11 +1,12 @@
 import pytest
 
-COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, shard int, bucket long, node long, label long"
+CLASHING = ("__kept", "__spans", "__spans_", "__cell", "__hash", "__row", "__rank", "row", "good", "words", "ranges", "seed", "hi", "cleaned")
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, shard int, bucket long, node long, label long, " + ", ".join(f"`{c}` string" for c in CLASHING)
 
 
 def table(spark, rows):
     """Documents with columns whose names the operators use inside."""
-    full = [(i, t, "en", "src0", len(t or ""), True, 1, 2, 3, 4) for i, t in rows]
+    full = [(i, t, "en", "src0", len(t or ""), True, 1, 2, 3, 4, *(f"my {c}" for c in CLASHING)) for i, t in rows]
     return spark.createDataFrame(full, COLUMNS)
 
 
@@ -62,3 +63,8 @@ def documents(spark, sf):
 @pytest.fixture(scope="session")
 def texts(documents):
     return {r.doc_id: r.text for r in documents.collect()}
+
+
+def untouched(rows):
+    """Whether columns that no operator writes came through as they were."""
+    return all(r[c] == f"my {c}" for r in rows for c in CLASHING) and all((r.lang, r.kept, r.shard, r.bucket, r.node, r.label) == ("en", True, 1, 2, 3, 4) for r in rows)

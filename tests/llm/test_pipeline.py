@@ -1,5 +1,5 @@
 import corpus_pipeline
-from conftest_llm import prose, table, words
+from conftest_llm import prose, table, untouched, words
 from test_quality import good_line, verdict
 from test_near_dedup import by_brute_force
 
@@ -13,6 +13,7 @@ def test_stages_keep_columns(spark, odd, none):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             docs = stage(spark, docs, "")
             assert docs.columns == odd.columns
+            assert untouched(docs.collect())
         assert corpus_pipeline.packing_stage(spark, docs, "").columns[0] == "doc_id"
 
 
