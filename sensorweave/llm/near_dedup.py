@@ -1,15 +1,17 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact verification.
 
-1. Every text becomes the set of its five-word shingles, a MinHash signature of
-   ``bands * rows`` 16-bit values and a 128-bit key of the whole set.  Documents
-   of equal sets are one node from here on, named by their smallest doc_id.
+1. Every text becomes the set of its five-word shingles and a MinHash signature
+   of ``bands * rows`` 16-bit values.  Documents of the same words in the same
+   order (by 128 bits of their SHA-256) are one node from here on, named by their
+   smallest doc_id; others are compared, however alike.
 2. Nodes that agree in a band share a bucket.  Each bucket's smallest node leads
    it, and every member is compared with the leader: as many pairs as members.
 3. Buckets whose other members still lie in several components are compared
    among themselves, but only across components: every pair of a bucket is
    either compared or already connected.  Such a bucket is dealt out by pairs of
-   hash blocks, so no task holds more than two blocks of it, and each group of
-   two blocks gives only links that connect its components, never its pairs.
+   hash blocks of some ``block`` members and ``mass`` shingles at most, so no task
+   holds more than two blocks of it, and each group of two blocks gives only
+   links that connect its components, never its pairs.
 4. A comparison goes through the signatures in batches of ``batch`` values.
    After n values with m agreeing, the posterior probability (uniform prior)
    that the similarity reaches the threshold is the binomial probability of at
@@ -23,6 +25,7 @@ A pair at the threshold shares no band with probability
 
 from __future__ import annotations
 
+import hashlib
 import math
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
@@ -47,6 +50,7 @@ class NearDup:
     batch: int = 32
     miss: float = 1e-5
     block: int = 512
+    mass: int = 1 << 20
     seed: int = 20240601
 
     @property
@@ -83,18 +87,19 @@ def signature(shingles: np.ndarray, a: np.ndarray, b: np.ndarray, step: int = 51
 
 
 def sketches(docs: DataFrame, p: NearDup) -> DataFrame:
-    """doc_id, n_shingles, the set's key (hi, lo) and signature; empty sets have neither."""
+    """doc_id, n_shingles, the words' key (hi, lo) and signature; empty sets have neither."""
 
     def sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, (a, b) = kept("words", WordHashes), p.multipliers()
         for batch in batches:
             n, hi, lo, sig = [], [], [], []
             for text in batch.column(1):
-                s = shingle_set(known.of(lower_words(text.as_py())), p.k)
+                words = lower_words(text.as_py())
+                s = shingle_set(known.of(words), p.k)
                 n.append(len(s))
                 if len(s):
-                    hi.append(int(mixed(s).sum(dtype=np.uint64).view(np.int64)))
-                    lo.append(int(mixed(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64)))
+                    key = np.frombuffer(hashlib.sha256(b" ".join(words)).digest(), "<i8", 2).tolist()
+                    hi.append(key[0]), lo.append(key[1])
                     sig.append(signature(s, a, b).tobytes())
                 else:
                     hi.append(None), lo.append(None), sig.append(None)
@@ -201,10 +206,10 @@ def across(members: DataFrame, labels: DataFrame, signatures: DataFrame, texts:
     """Links (a, b) between components among buckets' other members."""
     needs = p.least_matches()
     others = members.where("n > 2 AND node <> leader")
-    others = others.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    others = others.join(labels, "node", "left").select("bucket", "node", "n", "mass", F.coalesce("label", "node").alias("label"))
     others = written(others, "bucket-members")
     mixed_up = others.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high").select("bucket")
-    blocks = F.ceil(F.col("n") / p.block).cast("int")
+    blocks = F.ceil(F.greatest(F.col("n") / p.block, F.col("mass") / p.mass)).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
     places = F.transform(F.sequence(F.lit(0), blocks - 1), lambda j: F.struct(F.least(j, F.col("own")).alias("i"), F.greatest(j, F.col("own")).alias("j")))
     dealt = others.join(mixed_up, "bucket").withColumn("own", own).select("bucket", "node", "label", "own", F.explode(places).alias("at"))
@@ -240,14 +245,14 @@ def near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """
     sketched = written(sketches(docs, p), "sketches")
     sets = written(sketched.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("node")), "sets")
-    nodes = sketched.select("hi", "lo", F.col("doc_id").alias("node"), "sig").join(sets, ["hi", "lo", "node"]).select("node", "sig")
+    nodes = sketched.select("hi", "lo", F.col("doc_id").alias("node"), "n_shingles", "sig").join(sets, ["hi", "lo", "node"]).select("node", "n_shingles", "sig")
     nodes = written(nodes, "nodes")
     width = 2 * p.rows
     bucket = F.explode(F.array(*[F.xxhash64(F.substring("sig", 1 + width * b, width), F.lit(b)) for b in range(p.bands)])).alias("bucket")
-    banded = nodes.select("node", bucket)
-    led = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = written(banded.join(led, "bucket"), "members")
-    signatures = written(nodes.join(members.select("node").distinct(), "node", "left_semi"), "signatures")
+    banded = nodes.select("node", "n_shingles", bucket)
+    led = banded.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("mass")).where("n > 1")
+    members = written(banded.drop("n_shingles").join(led, "bucket"), "members")
+    signatures = written(nodes.select("node", "sig").join(members.select("node").distinct(), "node", "left_semi"), "signatures")
     nodes_met = members.select("node").distinct()
     texts = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), F.col("text").cast("binary").alias("text"))
     texts = written(texts.join(nodes_met.hint("merge"), "node", "left_semi"), "texts")  # the nodes grow with the corpus

@@ -61,6 +61,14 @@ def test_groups_of_near_copies(spark):
     df = table(spark, docs.items()).repartition(5)
     check(near_dedup.near_duplicates(df).collect(), docs)
     check(near_dedup.near_duplicates(df, NearDup(block=16)).collect(), docs)
+    check(near_dedup.near_duplicates(df, NearDup(mass=2000)).collect(), docs)
+
+
+def test_equal_sets_in_other_orders(spark):
+    """Words over and over, and lines dealt anew, have the sets of other texts without their words."""
+    line = words(40, 5)
+    docs = {1: " ".join(line * 2), 2: " ".join(line * 3), 3: "\n".join([" ".join(line * 2)] * 2).upper(), 4: " ".join(line), 5: "of " * 30, 6: "of " * 40, 7: "of of of of", 8: "of of of of of"}
+    check(near_dedup.near_duplicates(table(spark, docs.items())).collect(), docs)
 
 
 def test_odd_rows(odd, none, odd_rows):
