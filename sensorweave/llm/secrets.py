@@ -3,8 +3,10 @@
 Three base patterns are matched as they stand.  Beside them every assignment,
 wherever in a line it stands, is lexed into a name-literal pair, as source code
 and configuration files write them: ``name = "x"``, ``name: x``, ``name := x``,
-``"name" => 'x'``, ``NAME=x``, ``const name = a + "x"``.  Constants are
-propagated: a name on the right stands for the literals it was last given, so
+``"name" => 'x'``, ``NAME=x``, ``const name = a + "x"``, ``<name>x</name>``,
+``<add key="name" value="x"/>``, YAML blocks.  A right-hand side ends with its
+line unless it goes on: in triple quotes or backquotes, in parentheses, behind a
+``+`` or a backslash at the line's end.  Constants are propagated: a name on the right stands for the literals it was last given, so
 ``a = "..."`` followed by ``password = a`` reports the first literal.  A pair
 scores by how sensitive its target's name is and how much its value looks like
 a secret; from ``least`` on its literals are reported as kind ``name``.
@@ -58,8 +60,13 @@ _PAIR = re.compile(
     r"""(?<![\w.$@])(?<![\w.$@]-)(?P<quote>["']?)(?P<name>[A-Za-z_$@][\w.$@-]*+(?:\[["']?\w+["']?\])?)(?P=quote)[^\S\n]*"""
     r"""(?::[^\S\n]*(?P<kind>[A-Za-z_]\w*)[^\S\n]*(?==[^=>]))?(?P<op>:=|=>|=(?!=)|:(?!:))[^\S\n]*(?=\S)"""
 )
-_TERM = re.compile(r"""\s*(?:(?P<string>[rbfuRBFU]?(?P<mark>["'`])(?P<inside>(?:\\.|(?!(?P=mark))[^\\])*)(?P=mark))|(?P<word>[^\s"'`+,;#()\[\]{}]+))\s*""")
+_TERM = re.compile(r"""\s*(?:(?P<string>[rbfuRBFU]?(?P<mark>\"{3}|'{3}|["'`])(?P<inside>(?:\\.|(?!(?P=mark))[^\\])*)(?P=mark))|(?P<word>[^\s"'`+,;#()\[\]{}]+))\s*""")
 _STRING = re.compile(r"""[rbfuRBFU]?["'`]""")
+_LONG_STRING = re.compile(r"""\s*[rbfuRBFU]?(\"{3}|'{3}|`)""")
+_LINE_END = re.compile(r"[^\S\n]*\\?[^\S\n]*\n[^\S\n]*")
+_BLOCK = re.compile(r"[|>][-+]?[^\S\n]*\n[^\S\n]+(?P<inside>[^\s].*)")
+_ELEMENT = re.compile(r"""<(?P<name>[A-Za-z_][\w.:-]*)(?:\s[^<>]*)?>\s*(?P<inside>[^<>\s][^<>\n]*?)\s*</(?P=name)\s*>""")
+_ATTRIBUTES = re.compile(r"""\b(?:key|name|id)\s*=\s*(["'])(?P<name>[^"'<>\n]+)\1\s+(?:[\w:]+\s*=\s*(?:"[^"<>\n]*"|'[^'<>\n]*')\s+)?value\s*=\s*(["'])(?P<inside>(?:(?!\3)[^<>\n])+)\3""")
 _DOT = re.compile(r"""\.\s*(["'`$]|[A-Za-z_][\w.]*)""")
 _PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|\d+")
 _REFERENCE = re.compile(r"^\$?\{?([A-Za-z_][\w.]*)\}?$")
@@ -99,10 +106,21 @@ def value_weight(value: str, quoted: bool) -> float:
 
 
 def _literals(text: str, pos: int, end: int, constants: dict[str, list]) -> list:
-    """The literals of a right-hand side of terms joined by ``+`` or ``.``, and of strings side by side; a constant is held as its own list."""
+    """The literals of a right-hand side of terms joined by ``+`` or ``.``, and of strings side by side; a constant is held as its own list.
+
+    ``end`` is that of the line; the lines that the right-hand side goes on to follow.
+    """
     out: list = []
-    while m := _TERM.match(text, pos, end):
+    if block := _BLOCK.match(text, pos):
+        return [(*block.span("inside"), block["inside"], False)]
+    if text.startswith("(", pos):  # lines of a parenthesis are joined
+        pos, end = pos + 1, len(text)
+    while m := _TERM.match(text, pos, len(text) if _LONG_STRING.match(text, pos, end) else end):
         pos, joined = m.end(), False
+        if pos > end:
+            end = _line_end(text, pos)
+        if (rest := _LINE_END.match(text, pos)) and "\\" in rest[0]:
+            pos, end = rest.end(), _line_end(text, rest.end())
         if m["string"] is not None:
             out.append((m.start("inside"), m.end("inside"), m["inside"], True))
             joined = _STRING.match(text, pos, end) is not None
@@ -119,6 +137,8 @@ def _literals(text: str, pos: int, end: int, constants: dict[str, list]) -> list
             continue
         if text.startswith("+", pos, end):
             pos += 1
+            if rest := _LINE_END.match(text, pos):
+                pos, end = rest.end(), max(end, _line_end(text, rest.end()))
         elif (dot := _DOT.match(text, pos, end)) and (dot[1] in "\"'`$" or (ref := _REFERENCE.match(dot[1])) and ref[1] in constants):
             pos += 1
         else:
@@ -126,6 +146,11 @@ def _literals(text: str, pos: int, end: int, constants: dict[str, list]) -> list
     return out
 
 
+def _line_end(text: str, pos: int) -> int:
+    end = text.find("\n", pos)
+    return end if end >= 0 else len(text)
+
+
 def _flat(terms: list) -> list[Literal]:
     """The literals of terms and of the constants among them, in order, each constant once."""
     out: list[Literal] = []
@@ -146,13 +171,12 @@ def _flat(terms: list) -> list[Literal]:
 
 def assigned_spans(text: str, least: float = 0.8) -> list[tuple[int, int, str]]:
     """Literals whose assignment, direct or through constants, scores ``least`` or more."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     constants: dict[str, list] = {}  # of literals and of earlier constants' lists, so that growing ones stay small
     found: set[tuple[int, int, str]] = set()
     for m in _PAIR.finditer(text):
-        end = text.find("\n", m.end())
-        terms = _literals(text, m.end(), end if end >= 0 else len(text), constants)
+        terms = _literals(text, m.end(), _line_end(text, m.end()), constants)
         names = [n.lstrip("$@") for n in (m["name"], m["kind"]) if n]  # in "x: y = ..." either may be the target
         if terms:
             constants.update((n, terms) for n in names)
@@ -161,6 +185,11 @@ def assigned_spans(text: str, least: float = 0.8) -> list[tuple[int, int, str]]:
             value = "".join(v for _, _, v, _ in literals)
             if weight + value_weight(value, any(q for *_, q in literals)) >= least - 1e-9:
                 found.update((s, e, "name") for s, e, _, _ in literals if e > s)
+    for pattern, mark in ((_ELEMENT, "</"), (_ATTRIBUTES, "value")):
+        if mark in text:
+            for m in pattern.finditer(text):
+                if (weight := name_weight(m["name"])) and weight + value_weight(m["inside"], True) >= least - 1e-9:
+                    found.add((*m.span("inside"), "name"))
     return ordered(found)
 
 

@@ -78,6 +78,17 @@ def test_assigned_names(text, found):
         ('$a = "Zx9Q";\n$db_pwd = $a . "yT77qqw1";', ["Zx9Q", "yT77qqw1"]),
         ('a = "Zx9Q"\nauth_token_value = a."yT77qqw1"', ["Zx9Q", "yT77qqw1"]),
         ('f(auth_token_value="Zx9Q" "yT77qqw1")', ["Zx9Q", "yT77qqw1"]),
+        ("<db><dbPwd> zaq12wsxCDE3 </dbPwd><note>a1b2c3d4e5f6G7</note></db>", ["zaq12wsxCDE3"]),
+        ('<add key="DbPwd" value="zaq12wsxCDE3"/><add key="Colour" value="a1b2c3d4e5f6G7"/>', ["zaq12wsxCDE3"]),
+        ("<property name='db.pwd' type='x' value='zaq12wsxCDE3'/>", ["zaq12wsxCDE3"]),
+        ('db_pwd = """zaq12wsxCDE3"""\nx = 1', ["zaq12wsxCDE3"]),
+        ("k = \'\'\'\nMIIEvQ0982hT\'\'\'\nx = 1", []),
+        ('db_pwd = ("Zx9Q"\n          "yT77qqw1")\ncolour = "a1b2c3d4e5f6G7"', ["Zx9Q", "yT77qqw1"]),
+        ('db_pwd = "Zx9Q" + \\\n    "yT77qqw1"', ["Zx9Q", "yT77qqw1"]),
+        ('db_pwd = "Zx9Q" \\\n    "yT77qqw1"\nz = 1', ["Zx9Q", "yT77qqw1"]),
+        ('const dbPwd = "Zx9Q" +\n    "yT77qqw1";\nlet a = "a1b2c3d4e5f6G7"', ["Zx9Q", "yT77qqw1"]),
+        ("db:\n  pwd: |\n    zaq12wsxCDE3\n  port: 1", ["zaq12wsxCDE3"]),
+        ("db_pwd = `zaq12wsxCDE3`", ["zaq12wsxCDE3"]),
         ("we said the pwd: see the wall. Then pwd != x1y2z3w4Q and Pwd::x1y2z3w4Q", []),
     ],
 )
