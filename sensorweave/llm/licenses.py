@@ -1,7 +1,7 @@
 """License scan: MinHash bands over overlapping text windows, then exact shingle containment.
 
-Texts and templates are lower-cased and every ASCII character that is neither a
-letter nor a digit parts words.  A template of n words has the shingles of
+Texts and templates are lower-cased; every ASCII character that is neither a
+letter nor a digit parts words, and so do the marks, signs and spaces of Unicode.  A template of n words has the shingles of
 min(5, n) words.  Its windows of ``W`` shingles (the largest of ``WIDTHS`` that
 fits) are sketched by ``bands * rows`` MinHash values, and so is every window of
 as many shingles of a text, at every position: values over a window come from
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -49,12 +50,25 @@ TEMPLATES = {
     "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "GPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-2.0-or-later": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "LGPL-2.1-or-later": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0-or-later": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "GPL-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    "EPL-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    "MIT-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "ISC-warranty": "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    "BSD-2-Clause-text": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    "BSD-3-Clause-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 SHINGLE = 5
 WIDTHS = (1, 2, 4, 8, 16)
 MATCH = "doc_id long, template string, start_char long, end_char long, containment double"
 _TO_SPACES = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+#: In UTF-8: U+0080 to U+00BF but for its three letters, U+2000 to U+2BFF, the marks of U+3000 to U+3020, full-width marks, the byte order mark.
+_MARKS = re.compile(rb"\xc2[\x80-\xa9\xab-\xb4\xb6-\xb9\xbb-\xbf]|\xe2[\x80-\xaf][\x80-\xbf]|\xe3\x80[\x80-\x84\x88-\xa0]|\xef\xbc[\x81-\x8f\x9a-\xa0\xbb-\xbf]|\xef\xbd[\x80\x9b-\xa5]|\xef\xbb\xbf")
 _BITS = 18
 
 
@@ -70,8 +84,20 @@ def collision_probability(similarity: float, p: Bands = Bands()) -> float:
     return 1 - (1 - similarity**p.rows) ** p.bands
 
 
+def plain(text: bytes) -> bytes:
+    """Lower-case words of UTF-8 between spaces, each at its place in ``text``."""
+    if not text.isascii():
+        text = _MARKS.sub(lambda m: b" " * len(m[0]), text)
+    return text.lower().translate(_TO_SPACES)
+
+
 def plain_words(text: bytes) -> list[bytes]:
-    return text.lower().translate(_TO_SPACES).split()
+    return plain(text).split()
+
+
+def read_templates(folder: str) -> dict[str, str]:
+    """Further templates, such as whole license texts: the files of a folder of the driver's, by name."""
+    return {p.stem: p.read_text("utf-8", "replace") for p in sorted(Path(folder).iterdir()) if p.is_file()}
 
 
 def window_minima(h: np.ndarray, width: int) -> np.ndarray:
@@ -146,11 +172,17 @@ class Library:
         hashes = self.known.of(words)
         by_length = {k: grams(hashes, k) for k, _ in self.tables}
         best: dict[int, list[tuple[int, int, float]]] = {}
+        starts: list[tuple[int, int, int]] = []  # template, first and last of places that lie together
         for t, start in sorted(self.retrieved(by_length)):
+            if starts and starts[-1][0] == t and start - starts[-1][1] <= self.lengths[t] // 4 + 2:
+                starts[-1] = (t, starts[-1][1], start)
+            else:
+                starts.append((t, start, start))
+        for t, start, end in starts:
             n = self.lengths[t]
             k, slack = min(SHINGLE, n), n // 4 + 2
             lo = max(0, start - slack)
-            region = by_length[k][lo : start + n + slack]
+            region = by_length[k][lo : max(0, end + n + slack)]
             inside = np.isin(region, self.sets[t])
             share = len(np.unique(region[inside])) / len(self.sets[t])
             if share < self.p.least:
@@ -185,7 +217,7 @@ def license_matches(docs: DataFrame, templates: dict[str, str] | None = None, p:
                     continue
                 found = lib.matches(plain_words(text))
                 if found:
-                    spans = [m.span() for m in re.finditer(rb"[^ ]+", text.lower().translate(_TO_SPACES))]
+                    spans = [m.span() for m in re.finditer(rb"[^ ]+", plain(text))]
                     for t, lo, hi, share in found:
                         start = len(text[: spans[lo][0]].decode())
                         rows.append((doc_id, lib.names[t], start, start + len(text[spans[lo][0] : spans[hi - 1][1]].decode()), share))

@@ -1,8 +1,9 @@
 import hashlib
+import random
 import re
 
 import pytest
-from conftest_llm import prose, table
+from conftest_llm import prose, table, words
 
 from sensorweave.llm import licenses, secrets
 
@@ -127,9 +128,6 @@ def test_licenses(spark, odd, none):
 
 
 def test_licenses_against_brute_force(documents, texts):
-    def plain(t):
-        return re.sub(r"[^\w]|_", " ", t.lower(), flags=re.ASCII).split()
-
     def held(t, n):
         g = {tuple(t[i : i + n]) for i in range(len(t) - n + 1)}
         return g
@@ -145,6 +143,59 @@ def test_licenses_against_brute_force(documents, texts):
     assert got == want and want
 
 
+def test_marks_of_unicode_part_words(spark):
+    rows = [
+        (1, "under the \u201cApache License, Version\u00a02.0\u201d"),
+        (2, "\u00a92024 X \u2014\u201cAll rights reserved\u201d\u2026 fin"),
+        (3, "Licensed under the\u2003Apache License,\u00a0Version 2.0\u3002"),
+        (4, "\uff08Released under the MIT License\uff09 tr\u00e8s \u00e9t\u00e9"),
+        (5, "\u00e9All rights reserved"),
+    ]
+    found = licenses.license_matches(table(spark, rows)).collect()
+    text = dict(rows)
+    assert {(r.doc_id, r.template, text[r.doc_id][r.start_char : r.end_char]) for r in found} == {
+        (2, "rights-reserved", "All rights reserved"),
+        (3, "Apache-2.0-notice", "Licensed under the\u2003Apache License,\u00a0Version 2.0"),
+        (4, "MIT-notice", "Released under the MIT License"),
+    }
+    for c in map(chr, range(128, 0x10000)):
+        if not 0xD800 <= ord(c) < 0xE000 and c.isalpha() and not 0x2000 <= ord(c) < 0x2C00:
+            assert licenses.plain(c.encode()).strip()
+
+
+def contained(template, text):
+    w = licenses.plain_words(template.encode())
+    k = min(5, len(w))
+    t = licenses.plain_words(text.encode())
+    want = {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+    return len(want & {tuple(t[i : i + k]) for i in range(len(t) - k + 1)}) / len(want)
+
+
+def test_changed_templates_against_brute_force(spark):
+    """Edited copies alone in their text: containment over the text is that of the copy."""
+    rng = random.Random(2)
+    rows, at = [], 0
+    for name, template in licenses.TEMPLATES.items():
+        for edits in range(0, 12):
+            w = template.split()
+            for _ in range(edits):
+                w[rng.randrange(len(w))] = rng.choice(["", "word other", "Program"])
+            rows.append((at, prose(20, at) + "\n" + " ".join(w) + "\n" + prose(20, 1000 + at)))
+            at += 1
+    got = {(r.doc_id, r.template): r.containment for r in licenses.license_matches(table(spark, rows)).collect()}
+    want = {(i, name): share for i, t in rows for name, template in licenses.TEMPLATES.items() if (share := contained(template, t)) >= 0.8}
+    assert got.keys() <= want.keys() and len(got) >= 0.99 * len(want)
+    assert all(abs(got[k] - want[k]) < 1e-9 for k in got)
+
+
+def test_whole_license_texts(spark, tmp_path):
+    body = words(3000, 1)
+    (tmp_path / "Long-1.0.txt").write_text(" ".join(body))
+    rows = [(1, prose(50, 2) + " " + " ".join(w for i, w in enumerate(body) if i % 40) + " " + prose(50, 3)), (2, " ".join(body[:2000]))]
+    found = licenses.license_matches(table(spark, rows), licenses.read_templates(str(tmp_path))).collect()
+    assert [(r.doc_id, r.template) for r in found] == [(1, "Long-1.0")]
+
+
 def test_bands_guarantee():
     assert licenses.collision_probability(1.0) == 1.0
     assert licenses.collision_probability(2 / 3) > 0.99
