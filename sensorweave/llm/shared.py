@@ -54,7 +54,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(spark, label)
     modest_batches(spark)
     with _shuffles_removed(spark):
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
     if _open:
         _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
