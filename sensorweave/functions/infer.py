@@ -69,22 +69,32 @@ def _model(path: str | None, channels: int, seed: int):
     return lambda eeg, gaze: session.run(None, dict(zip(names, (eeg, gaze), strict=True)))[0].reshape(-1)
 
 
-def classifier(path: str | None = None, channels: int = CHANNELS, samples: int = SAMPLES, seed: int = 0):
+@lru_cache(maxsize=4)
+def _channels(path: str) -> int | None:
+    """The EEG channels that a model file asks for, None if any."""
+    import onnxruntime
+
+    size = onnxruntime.InferenceSession(path).get_inputs()[0].shape[1]
+    return size if isinstance(size, int) else None
+
+
+def classifier(path: str | None = None, channels: int | None = CHANNELS, samples: int = SAMPLES, seed: int = 0):
     """A UDF (eeg, gaze) -> prediction struct over channel-major flat windows; a window of another size is null.
 
-    The model is loaded once in each worker process.
+    The model is loaded once in each worker process.  ``channels`` None takes the
+    channels that each window has; a model file's own count is held against them.
     """
 
     @pandas_udf(PREDICTION)
     def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        logits = _model(path, channels, seed)
         for eeg, gaze in batches:
-            ok = [len(e) == channels * samples and len(g) == GAZE_CHANNELS * samples for e, g in zip(eeg, gaze, strict=True)]
+            fits = [len(e) // samples if len(e) and len(e) % samples == 0 and len(g) == GAZE_CHANNELS * samples else 0 for e, g in zip(eeg, gaze, strict=True)]
+            known = {n for n in fits if n and (channels or n) == n and (path is None or _channels(path) in (None, n))}
             out = pd.DataFrame({"confidence": np.full(len(eeg), np.nan, np.float32), "classification": pd.Series([None] * len(eeg), dtype=object), "inference_ns": pd.array([pd.NA] * len(eeg), "Int64")})
-            rows = np.flatnonzero(ok)
-            if len(rows):
+            for n in sorted(known):
+                rows, logits = np.flatnonzero(np.array(fits) == n), _model(path, n, seed)
                 began = time.perf_counter_ns()
-                x = np.stack([np.asarray(eeg.iloc[i], np.float32).reshape(channels, samples) for i in rows])
+                x = np.stack([np.asarray(eeg.iloc[i], np.float32).reshape(n, samples) for i in rows])
                 y = np.stack([np.asarray(gaze.iloc[i], np.float32).reshape(GAZE_CHANNELS, samples) for i in rows])
                 confidence = (1 / (1 + np.exp(-logits(x, y)))).astype(np.float32)
                 spent = (time.perf_counter_ns() - began) // len(rows)

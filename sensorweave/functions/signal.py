@@ -109,16 +109,26 @@ def numpy_features(windows: np.ndarray, rate_hz: float) -> np.ndarray:
     return np.hstack([share, np.log(bands + FLOOR), np.sqrt((windows**2).mean(axis=1, keepdims=True))])
 
 
-def features_arrow(rate_hz: float):
-    """A vectorised UDF from ARRAY<FLOAT or DOUBLE> to the 11 features; windows of one length are computed together."""
+def features_arrow(rate_hz: float | None):
+    """A vectorised UDF from ARRAY<FLOAT or DOUBLE> to the 11 features; windows of one length are computed together.
 
-    @pandas_udf("array<double>")
-    def features(windows: pd.Series) -> pd.Series:
+    Without a rate each row's comes as a second column.
+    """
+
+    def of(windows: pd.Series, rates: pd.Series) -> pd.Series:
         out = pd.Series([None] * len(windows), index=windows.index, dtype=object)
         lengths = windows.map(lambda w: -1 if w is None else len(w))
-        for n, rows in windows.groupby(lengths):
+        for (n, rate), rows in windows.groupby([lengths, rates]):
             if n > 0:
-                out[rows.index] = list(numpy_features(np.stack(rows.to_list()).astype(np.float64), rate_hz))
+                out[rows.index] = list(numpy_features(np.stack(rows.to_list()).astype(np.float64), rate))
         return out
 
-    return features
+    @pandas_udf("array<double>")
+    def rated_features(windows: pd.Series, rates: pd.Series) -> pd.Series:
+        return of(windows, rates)
+
+    @pandas_udf("array<double>")
+    def features(windows: pd.Series) -> pd.Series:
+        return of(windows, pd.Series(rate_hz, index=windows.index))
+
+    return rated_features if rate_hz is None else features

@@ -13,7 +13,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .windows import cell_of, with_global_row_number
+
 DEGRADED_MS = 10.0
+#: Recordings are cut into buckets of a minute where nothing else is asked for.
+MINUTE_NS = 60_000_000_000
 
 
 def _neighbours(left: DataFrame, right: DataFrame, by: list[str], ts: str, left_idx: str, right_idx: str, right_cols: list[str]) -> DataFrame:
@@ -51,12 +55,19 @@ def asof_nearest(left: DataFrame, right: DataFrame, right_cols: list[str], by: l
 
 
 def asof_nearest_bucketed(left: DataFrame, right: DataFrame, right_cols: list[str], width_ns: int, by: list[str] = [], ts: str = "timestamp_ns", left_idx: str = "sequence_id", right_idx: str = "idx") -> DataFrame:  # noqa: B006
-    """The same for few, very long recordings: time is cut into buckets that align in parallel.
+    """The same for few, very long recordings: time is cut into buckets that align in parallel."""
+    near = _bucketed(left, right, width_ns, by, ts, left_idx, right_idx, right_cols)
+    t = F.col("__l")[ts]
+    return _nearest(near, t, F.col("__before"), F.col("__after"), [F.col("__l")[c].alias(c) for c in left.columns], right_cols)
+
+
+def _bucketed(left: DataFrame, right: DataFrame, width: int, by: list[str], ts: str, left_idx: str, right_idx: str, right_cols: list[str]) -> DataFrame:
+    """Anchors with their neighbours, as above, bucket by bucket.
 
     What a bucket needs of the others, the last right row before it and the first
     after it, comes from a table with one row for each bucket.
     """
-    cut = F.floor(F.col(ts) / width_ns).cast("bigint")
+    cut = cell_of(ts, width)
     keys = [*by, "__bucket"]
     l, r = left.withColumn("__bucket", cut), right.withColumn("__bucket", cut)
     held = F.struct(F.col(ts).alias("ts"), F.col(right_idx).alias("idx"), *right_cols)
@@ -68,28 +79,29 @@ def asof_nearest_bucketed(left: DataFrame, right: DataFrame, right_cols: list[st
     after = F.last("first", ignorenulls=True).over(w.orderBy(F.desc("__bucket")).rowsBetween(Window.unboundedPreceding, -1))
     carried = table.select(*keys, before.alias("__carried_before"), after.alias("__carried_after"))
     near = _neighbours(l, r, keys, ts, left_idx, right_idx, right_cols).join(carried, keys, "left")
-    t = F.col("__l")[ts]
-    return _nearest(near, t, F.coalesce("__before", "__carried_before"), F.coalesce("__after", "__carried_after"), [F.col("__l")[c].alias(c) for c in left.columns], right_cols)
+    return near.select(*by, "__l", F.coalesce("__before", "__carried_before").alias("__before"), F.coalesce("__after", "__carried_after").alias("__after"))
 
 
-def asof_buffered(left: DataFrame, right: DataFrame, right_cols: list[str], mode: str, rate_ratio: float = 1.0, cap: int = 256, by: list[str] = [], ts: str = "timestamp_ns", left_idx: str = "sequence_id", right_idx: str = "idx") -> DataFrame:  # noqa: B006
+def asof_buffered(left: DataFrame, right: DataFrame, right_cols: list[str], mode: str, rate_ratio: float = 1.0, cap: int = 256, by: list[str] = [], ts: str = "timestamp_ns", left_idx: str = "sequence_id", right_idx: str = "idx", width: int = MINUTE_NS, limits: tuple[str, str] | None = None) -> DataFrame:  # noqa: B006
     """Alignment against a bounded FIFO of right rows, as a clamp of row numbers.
 
     ``replay``: before the i-th anchor floor((i + 1) * rate_ratio) right rows have
     been pushed.  ``bench``: all of them have.  The newest ``cap`` (at least one)
-    are visible; ordered input makes them a range [lo, hi) of row numbers.
+    are visible; ordered input makes them a range [lo, hi) of row numbers.  Rows
+    are numbered and aligned by buckets of ``width``.  ``limits`` names two of the
+    anchors' columns that hold each one's rate ratio and cap.
     """
     if mode not in ("replay", "bench"):
         raise ValueError(mode)
-    cap = max(cap, 1)
-    w = Window.partitionBy(*by)
-    numbered = right.withColumn("__n", (F.row_number().over(w.orderBy(ts, right_idx)) - 1).cast("bigint"))
-    anchors = left.withColumn("__row", F.row_number().over(w.orderBy(ts, left_idx)).cast("bigint"))
-    near = _neighbours(anchors, numbered, by, ts, left_idx, right_idx, ["__n"])
+    numbered = with_global_row_number(right, ts, width, "__n", by, [right_idx]).withColumn("__n", F.col("__n") - 1)
+    anchors = with_global_row_number(left, ts, width, "__row", by, [left_idx])
+    near = _bucketed(anchors, numbered, width, by, ts, left_idx, right_idx, ["__n"])
+    ratio, most = (F.col("__l")[c] for c in limits) if limits else (F.lit(rate_ratio), F.lit(cap))
+    most = F.greatest(most.cast("bigint"), F.lit(1))
     total = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
     near = near.join(total, by, "left") if by else near.crossJoin(total)  # one row without keys
-    pushed = F.floor(F.col("__l")["__row"] * F.lit(rate_ratio)).cast("bigint") if mode == "replay" else F.col("__total")
-    near = near.withColumn("__hi", F.least(F.coalesce("__total", F.lit(0)), pushed)).withColumn("__lo", F.greatest(F.lit(0), F.col("__hi") - cap)).where("__hi > 0")
+    pushed = F.floor(F.col("__l")["__row"] * ratio).cast("bigint") if mode == "replay" else F.col("__total")
+    near = near.withColumn("__hi", F.least(F.coalesce("__total", F.lit(0)), pushed)).withColumn("__lo", F.greatest(F.lit(0), F.col("__hi") - most)).where("__hi > 0")
     at = F.coalesce(F.col("__before")["__n"], F.lit(-1))
     low, high = F.least(at, F.col("__hi") - 1), F.greatest(at + 1, F.col("__lo"))
     near = near.select(*by, "__l", F.when(low >= F.col("__lo"), low).alias("__b"), F.when(high < F.col("__hi"), high).alias("__a"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalar import log2_bucket
+from .windows import cell_of
 
 LARGEST = (1 << 63) - 1
 
@@ -58,35 +59,58 @@ def _div(total: Column, n: Column) -> Column:
     return F.when(n > 0, _whole(total, n))
 
 
-def intervals(df: DataFrame, ts: str, by: list[str] = [], order: list[str] | None = None) -> DataFrame:  # noqa: B006
-    """``interval``: the time since the row before in arrival order, at least 0; the first row of a key has none."""
-    w = Window.partitionBy(*by).orderBy(*(order or [ts]))
-    step = F.col(ts) - F.lag(ts).over(w)
-    return df.withColumn("interval", F.when(step.isNotNull(), F.greatest(step, F.lit(0))))
+def intervals(df: DataFrame, ts: str, by: list[str] = [], order: list[str] | None = None, width: int | None = None) -> DataFrame:  # noqa: B006
+    """``interval``: the time since the row before in arrival order, at least 0; the first row of a key has none.
 
+    With ``width`` the rows go to cells of so much of the first order column; what
+    a cell's first row follows comes from a table with one row a cell.
+    """
+    order = order or [ts]
+    if width is None:
+        before = F.lag(ts).over(Window.partitionBy(*by).orderBy(*order))
+    else:
+        keys = [*by, "__cell"]
+        df = df.withColumn("__cell", cell_of(order[0], width))
+        ends = df.groupBy(*keys).agg(F.max_by(ts, F.struct(*order)).alias("__end"))
+        ends = ends.select(*keys, F.lag("__end").over(Window.partitionBy(*by).orderBy("__cell")).alias("__carried"))
+        df = df.join(ends, keys)
+        before = F.coalesce(F.lag(ts).over(Window.partitionBy(*keys).orderBy(*order)), "__carried")
+    step = F.col(ts) - before
+    return df.withColumn("interval", F.when(step.isNotNull(), F.greatest(step, F.lit(0)))).drop("__cell", "__carried")
 
-def jitter(df: DataFrame, ts: str, by: list[str] = [], order: list[str] | None = None) -> DataFrame:  # noqa: B006
+
+def jitter(df: DataFrame, ts: str, by: list[str] = [], order: list[str] | None = None, width: int | None = None) -> DataFrame:  # noqa: B006
     """mean_interval, jitter_std_dev and n_intervals."""
     n, mean, _, sd = welford(F.col("interval"))
-    return intervals(df, ts, by, order).groupBy(*by).agg(mean.alias("mean_interval"), sd.alias("jitter_std_dev"), n.alias("n_intervals"))
+    return intervals(df, ts, by, order, width).groupBy(*by).agg(mean.alias("mean_interval"), sd.alias("jitter_std_dev"), n.alias("n_intervals"))
 
 
 def picked_percentiles(df: DataFrame, value: str, by: list[str] = []) -> DataFrame:  # noqa: B006
-    """Sorted picks: median, stdev (n > 1), p95 = sorted[int(n .95)] (n > 20), p99 = sorted[int(n .99)] (n > 100), else 0."""
-    w = Window.partitionBy(*by)
-    ranked = df.select(*by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL").withColumn("i", F.row_number().over(w.orderBy("v")) - 1).withColumn("n", F.count(F.lit(1)).over(w))
-
-    def pick(share: float, least: int) -> Column:
-        return F.coalesce(F.max(F.when((F.col("n") > least) & (F.col("i") == F.floor(F.col("n") * share)), F.col("v"))), F.lit(0.0))
-
-    return ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"),
-        F.coalesce(F.median("v"), F.lit(0.0)).alias("median"),
-        F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("stdev"),
-        pick(0.95, 20).alias("p95"),
-        pick(0.99, 100).alias("p99"),
-    )
+    """Sorted picks: median, stdev (n > 1), p95 = sorted[int(n .95)] (n > 20), p99 = sorted[int(n .99)] (n > 100), else 0.
+
+    Values are counted in cells a 64th of a power of two wide; only the cells that
+    hold a wanted rank are sorted.
+    """
+    v = F.col("v")
+    size = F.floor(F.log2(F.abs(v)) * 64) + (1 << 20)
+    cell = F.when(v == 0, F.lit(0)).when(v > 0, size).otherwise(-size).cast("bigint")
+    rows = df.select(*by, F.col(value).cast("double").alias("v")).where("v IS NOT NULL").withColumn("cell", cell)
+    summary = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("count"), F.coalesce(F.avg("v"), F.lit(0.0)).alias("mean"), F.coalesce(F.stddev_samp("v"), F.lit(0.0)).alias("stdev"))
+    w = Window.partitionBy(*by).orderBy("cell")
+    counted = rows.groupBy(*by, "cell").agg(F.count(F.lit(1)).alias("n")).withColumn("upto", F.sum("n").over(w))
+    counted = counted.withColumn("total", F.sum("n").over(Window.partitionBy(*by)))
+    n = F.col("total")
+    ranks = {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2), "p95": F.when(n > 20, F.floor(n * 0.95)), "p99": F.when(n > 100, F.floor(n * 0.99))}
+    wanted = counted.select(*by, "cell", "n", "upto", F.explode(F.array(*[F.struct(F.lit(k).alias("name"), r.cast("bigint").alias("rank")) for k, r in ranks.items()])).alias("want"))
+    wanted = wanted.where("want.rank < upto AND want.rank >= upto - n").select(*by, "cell", "want.name", (F.col("want.rank") - F.col("upto") + F.col("n")).alias("i"))
+    cells = wanted.select(*by, "cell").distinct()
+    inside = rows.join(cells, [*by, "cell"]).withColumn("i", (F.row_number().over(Window.partitionBy(*by, "cell").orderBy("v")) - 1).cast("bigint"))
+    found = inside.join(wanted, [*by, "cell", "i"])
+    pick = lambda k: F.max(F.when(F.col("name") == k, v)).alias(k)
+    picks = found.groupBy(*by).agg(*map(pick, ranks))
+    out = summary.join(picks, by, "left") if by else summary.crossJoin(picks)  # one row each
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    return out.select(*by, "count", "mean", zero((F.col("low") + F.col("high")) / 2).alias("median"), "stdev", zero(F.col("p95")).alias("p95"), zero(F.col("p99")).alias("p99"))
 
 
 def rate_from_times(df: DataFrame, ts: str, fallback: float, by: list[str] = []) -> DataFrame:  # noqa: B006

@@ -6,24 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def cell_of(order: str, width: int) -> Column:
+    """The cell of a number, cells being ``width`` wide; nulls have one before all others."""
+    return F.coalesce(F.floor(F.col(order) / width).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
+
+
 def with_row_number(df: DataFrame, order: str, by: list[str] = [], name: str = "rn") -> DataFrame:  # noqa: B006
-    """1-based row numbers within ``by``.  Without keys use :func:`with_global_row_number`."""
+    """1-based row numbers within ``by``.  Without keys, or for few long ones, use :func:`with_global_row_number`."""
     return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("bigint"))
 
 
-def with_global_row_number(df: DataFrame, order: str, width: int, name: str = "rn") -> DataFrame:
-    """1-based row numbers over the whole table without one task seeing all of it.
+def with_global_row_number(df: DataFrame, order: str, width: int, name: str = "rn", by: list[str] = [], ties: list[str] = []) -> DataFrame:  # noqa: B006
+    """1-based row numbers over the whole table, or each key of ``by``, without one task seeing all of it.
 
-    Rows are numbered in cells of ``order`` (a number) of the given width; the
-    cells' counts, one row each, give the offsets.
+    Rows are numbered by ``order`` (a number), then ``ties``, in cells of the
+    given width; the cells' counts, one row each, give the offsets.
     """
-    cell = F.floor(F.col(order) / width).cast("bigint")
-    celled = df.withColumn("__cell", cell)
-    counts = celled.groupBy("__cell").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("__cell", F.coalesce(before, F.lit(0)).alias("__offset"))
-    inside = F.row_number().over(Window.partitionBy("__cell").orderBy(order))
-    return celled.withColumn(name, inside).join(offsets, "__cell").withColumn(name, (F.col(name) + F.col("__offset")).cast("bigint")).drop("__cell", "__offset")
+    keys = [*by, "__cell"]
+    celled = df.withColumn("__cell", cell_of(order, width))
+    counts = celled.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.partitionBy(*by).orderBy("__cell").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select(*keys, F.coalesce(before, F.lit(0)).alias("__offset"))
+    inside = F.row_number().over(Window.partitionBy(*keys).orderBy(order, *ties))
+    return celled.withColumn(name, inside).join(offsets, keys).select(*[c for c in df.columns if c != name], (F.col(name) + F.col("__offset")).cast("bigint").alias(name))
 
 
 def sliding(df: DataFrame, value: str, size: int, order: str, by: list[str] = [], name: str = "window") -> DataFrame:  # noqa: B006
@@ -33,6 +38,21 @@ def sliding(df: DataFrame, value: str, size: int, order: str, by: list[str] = []
     return full.where(F.col("__rn") >= size).drop("__rn")
 
 
+def sliding_ranges(df: DataFrame, value: str, size: int, rn: str = "rn", span: int = 8192, name: str = "window") -> DataFrame:
+    """The last ``size`` values by dense row number, once as many have come, of one long stream.
+
+    Ranges of ``span`` row numbers are windowed apart; the last ``size`` - 1 rows
+    of a range also go, as copies, to the next one.
+    """
+    span = max(span, size)
+    at = F.floor(F.col(rn) / span).cast("bigint")
+    ranges = F.when(F.pmod(F.col(rn), F.lit(span)) > span - size, F.array(at, at + 1)).otherwise(F.array(at))
+    dealt = df.select("*", F.explode(ranges).alias("__range"))
+    w = Window.partitionBy("__range").orderBy(rn).rowsBetween(-(size - 1), 0)
+    full = dealt.withColumn(name, F.collect_list(value).over(w)).where((F.floor(F.col(rn) / span) == F.col("__range")) & (F.size(name) == size))
+    return full.drop("__range")
+
+
 def hop_members(df: DataFrame, size: int, stride: int, rn: str = "rn") -> DataFrame:
     """Every row once for each window it belongs to, as ``window_end`` (a row number) and ``slot`` (0-based, in order).
 

@@ -174,10 +174,8 @@ SELECT sequence_id, {', '.join(f'round({n} / total, 7) AS rel_{n}' for n in NAME
 def eeg_features_temporal(spark: SparkSession, d: str) -> DataFrame:
     """Features over the last 32 ticks of one channel, rows dealt to overlapping ranges first."""
     one = views.eeg(spark, d).select("sequence_id", F.col("channels")[0].cast("double").alias("v")).withColumn("rn", F.col("sequence_id") + 1)
-    members = windows.hop_members(one, 32, 1)
-    full = windows.complete_windows(members, 32, [], [F.transform(F.array_sort(F.collect_list(F.struct("slot", "v"))), lambda t: t["v"]).alias("w")])
-    df = full.withColumn("f", signal.features_arrow(RATE)("w"))
-    return df.select((F.col("window_end") - 1).alias("sequence_id"), *[F.round(F.col("f")[i], 7).alias(f"rel_{n}") for i, n in enumerate(NAMES)], F.round(F.col("f")[10], 8).alias("rms"))
+    df = windows.sliding_ranges(one, "v", 32, name="w").withColumn("f", signal.features_arrow(RATE)("w"))
+    return df.select("sequence_id", *[F.round(F.col("f")[i], 7).alias(f"rel_{n}") for i, n in enumerate(NAMES)], F.round(F.col("f")[10], 8).alias("rms"))
 
 
 @query(f"WITH {SPECTRA} SELECT sequence_id, (list_position(p, list_max(p)) - 1)::BIGINT AS peak_bin FROM bands")

@@ -47,7 +47,7 @@ def audit_report(packets: DataFrame) -> DataFrame:
     percentiles = stats.histogram_percentiles(stats.log2_histogram(latency, "ns"), list(PERCENTS))
     named = percentiles.agg(*[F.coalesce(F.max(F.when(F.col("p") == p, F.col("ns"))), F.lit(0)).cast("bigint").alias(f"latency_p{str(p).removesuffix('.0').replace('.', '')}_ns") for p in PERCENTS])
     summary = latency.agg(*stats.latency_summary(F.col("ns"))).select(F.col("mean_ns").alias("latency_mean_ns"), F.col("min_ns").alias("latency_min_ns"), F.col("max_ns").alias("latency_max_ns"))
-    jitter = stats.jitter(got, "recv_ns", order=["packet"]).select(F.col("jitter_std_dev").alias("jitter_std_dev_ns"), F.col("mean_interval").alias("mean_interval_ns"))
+    jitter = stats.jitter(got, "recv_ns", order=["packet"], width=1 << 16).select(F.col("jitter_std_dev").alias("jitter_std_dev_ns"), F.col("mean_interval").alias("mean_interval_ns"))
     row = counts.crossJoin(named).crossJoin(summary).crossJoin(jitter)  # one row each
     return row.withColumn("throughput_pps", stats.throughput_pps(F.col("packets_received"), F.col("duration_ms"))).withColumn("loss_fraction", stats.loss_fraction(F.col("packets_sent"), F.col("packets_dropped"), F.col("decode_errors"))).withColumn("heap_allocs", F.lit(0).cast("bigint"))
 
@@ -56,7 +56,7 @@ def client_summary(packets: DataFrame) -> DataFrame:
     """What a subscriber counts: packets, classes (none counts as observe), and picks over its intervals; times of 0 are left out."""
     classes = F.coalesce(F.nullif(F.trim("classification"), F.lit("")), F.lit("observe"))
     counts = packets.agg(F.count(F.lit(1)).alias("packets"), F.count_if(classes == "intent").alias("intent"), F.count_if(classes == "observe").alias("observe"), F.count_if(classes == "accumulating").alias("accumulating"), F.coalesce(F.avg("confidence"), F.lit(0.0)).cast("double").alias("mean_confidence"))
-    steps = stats.intervals(packets.where("timestamp_ns > 0"), "timestamp_ns", order=["sequence_id"]).where("interval IS NOT NULL")
+    steps = stats.intervals(packets.where("timestamp_ns > 0"), "timestamp_ns", order=["sequence_id"], width=1 << 16).where("interval IS NOT NULL")
     return counts.crossJoin(stats.picked_percentiles(steps, "interval").withColumnRenamed("count", "intervals").withColumnRenamed("mean", "mean_interval"))
 
 

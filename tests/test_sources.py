@@ -4,6 +4,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sensorweave.plans import packets, queries
 from sensorweave.sources import arrays, corec, simulate, text
@@ -123,16 +124,40 @@ def test_simulation(spark):
 
 
 def test_synthetic_recording_replays(spark):
-    eeg, gaze, labels = simulate.synthetic_recording(trials=4, channels=4)
-    assert (len(eeg), len(gaze), labels) == (2000, 240, [1, 0, 1, 0])
-    e = spark.createDataFrame([(int(t), [float(x) for x in c], int(s)) for t, c, s in eeg.itertuples(index=False)], "timestamp_ns long, channels array<float>, sequence_id long")
-    g = spark.createDataFrame(gaze, "timestamp_ns long, x double, y double, pupil_diameter double, idx long")
-    got = packets.replay(e, g, 500.0, 60.0, "replay", features=False)
+    eeg, gaze, labels = simulate.synthetic_recording(spark, trials=4, channels=4)
+    assert (eeg.count(), gaze.count(), [tuple(r) for r in labels.collect()]) == (2000, 240, [(0, 1), (1, 0), (2, 1), (3, 0)])
+    got = packets.replay(eeg, gaze, 500.0, 60.0, "replay", features=False)
     classes = {r.classification: r["count"] for r in got.groupBy("classification").count().collect()}
     assert sum(classes.values()) == 1992
     assert classes["observe"] == 15
 
 
+def test_synthetic_conditions(spark):
+    """What tells the conditions apart, over many trials."""
+    eeg, gaze, _ = simulate.synthetic_recording(spark, trials=40, channels=112)
+    rows = eeg.select("timestamp_ns", F.slice("channels", 79, 34).alias("c")).repartition(3).orderBy("timestamp_ns").collect()
+    x = np.array([r.c for r in rows]).reshape(40, 500, 34)  # channels 78 to 111
+    assert [r.timestamp_ns for r in rows[:502:501]] == [0, 10**9 + 2_000_000]
+    moved = x[::2].mean(axis=0) - x[1::2].mean(axis=0)
+    late, early = moved[460:, 2:33].mean(), moved[:250, 2:33].mean()
+    assert late < -3.5 and abs(early) < 0.7
+    assert abs(moved[460:, [0, 1, 33]].mean()) < 1.5
+    power = x.std(axis=(0, 1), where=(np.arange(500) >= 350)[None, :, None])
+    damped = x[::2, 350:, 2:33].std(axis=0).mean() / x[1::2, 350:, 2:33].std(axis=0).mean()
+    assert 0.62 < damped < 0.8 and power.shape == (34,)
+    spectrum = np.abs(np.fft.rfft(x[1::2, :, 0], axis=1)).mean(axis=0)
+    assert spectrum[9:12].max() > 4 * spectrum[13:17].mean() and spectrum[18:23].mean() > spectrum[28:60].mean()
+    g = gaze.orderBy("idx").toPandas()
+    g["trial"], g["tick"] = g["idx"] // 60, g["idx"] % 60
+    held = g[g["tick"] >= 15].groupby("trial")["x"].std()
+    assert abs(held[::2].mean() - 0.15) < 0.02 and abs(held[1::2].mean() - 0.25) < 0.03
+    assert abs(g[g["tick"] < 9]["x"].mean()) < 0.05 and g[g["tick"] >= 15].groupby("trial")["x"].mean().abs().max() > 5
+    wide = g.groupby(g["trial"] % 2)["pupil_diameter"].mean()
+    assert abs(wide[0] - wide[1] - 0.3) < 0.03
+    again = simulate.synthetic_recording(spark, trials=40, channels=112)[1].orderBy("idx").toPandas()
+    assert again["x"].equals(g["x"]) and not simulate.synthetic_recording(spark, 40, seed=7)[1].orderBy("idx").toPandas()["x"].equals(g["x"])
+
+
 def test_file_is_little_endian(recording):
     path, _, _ = recording
     with open(path, "rb") as f:
