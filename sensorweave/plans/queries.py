@@ -496,9 +496,14 @@ def _folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/stream-{os.urandom(8).hex()}"
 
 
-@query(f"WITH {ASOF.replace('WHERE bt IS NOT NULL OR nt IS NOT NULL', 'WHERE nt IS NOT NULL')} SELECT user_id, t AS ts_us, event_id, matched AS matched_us, matched - t AS offset_us FROM m")
+@query(f"WITH {ASOF} SELECT user_id, t AS ts_us, event_id, v AS value, matched AS matched_us, matched - t AS offset_us FROM m")
 def stream_asof(spark: SparkSession, d: str) -> DataFrame:
-    return stateful.drained(stateful.stream_asof(_stream(spark, d)), _folder(spark))
+    """The batch alignment's rows from streams that end."""
+    folder, events = _folder(spark), _stream(spark, d)
+    anchors = events.where("event_type = 'purchase'").select("user_id", "ts_us", "event_id", "ts")
+    views_ = events.where("event_type = 'view'").select("user_id", "event_id", "value", "ts")
+    out = stateful.stream_asof(anchors, views_, ["value"], ["user_id"], ends=stateful.end_marks(spark, folder))
+    return stateful.drained(out, folder, ends=True).drop("ts")
 
 
 @query("""WITH r AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events)

@@ -1,3 +1,6 @@
+import random
+from datetime import UTC, datetime
+
 from pyspark.sql import functions as F
 
 from sensorweave.plans import views
@@ -17,12 +20,46 @@ def in_batches(spark, df, tmp_path, parts):
 
 def test_batches_do_not_matter(spark, sf, tmp_path):
     events = views.arrivals(spark, sf).where("user_id < 6")
-    for name, operator in (("asof", stateful.stream_asof), ("hop", stateful.stream_hops)):
-        once = stateful.drained(operator(in_batches(spark, events, tmp_path / f"{name}1", 1)), str(tmp_path / f"{name}-one"))
-        often = stateful.drained(operator(in_batches(spark, events, tmp_path / f"{name}4", 4)), str(tmp_path / f"{name}-four"))
-        key = lambda r: [round(v, 6) for v in r]
-        assert sorted(map(key, once.collect())) == sorted(map(key, often.collect()))
-        assert once.count() > 0
+    once = stateful.drained(stateful.stream_hops(in_batches(spark, events, tmp_path / "1", 1)), str(tmp_path / "one"))
+    often = stateful.drained(stateful.stream_hops(in_batches(spark, events, tmp_path / "4", 4)), str(tmp_path / "four"))
+    key = lambda r: [round(v, 6) for v in r]
+    assert sorted(map(key, once.collect())) == sorted(map(key, often.collect()))
+    assert once.count() > 0
+
+
+def aligned_in_batches(spark, df, tmp_path, folder, parts, late="1 hour", shuffled=None):
+    """Rows of ``df`` (k, at seconds, anchor) as two streams, some out of order."""
+    source = str(tmp_path / f"in-{folder}")
+    rows = df if shuffled is None else sorted(df, key=lambda r: r[1] + shuffled.randrange(1800))
+    step = -(-len(rows) // parts)
+    for k in range(parts):
+        some = [(a, t, i, datetime.fromtimestamp(t, UTC), anchor, f"body {i}") for a, t, i, anchor in rows[k * step : (k + 1) * step]]
+        spark.createDataFrame(some, "k string, at long, i long, time timestamp, anchor boolean, body string").coalesce(1).write.mode("append").parquet(source)
+    both = spark.readStream.schema("k string, at long, i long, time timestamp, anchor boolean, body string").option("maxFilesPerTrigger", 1).parquet(source)
+    out = str(tmp_path / f"out-{folder}")
+    got = stateful.stream_asof(both.where("anchor").select("k", "i", "time", "body"), both.where("NOT anchor").select("k", "i", "time", F.col("body").alias("seen"), "at"), ["seen", "at"], ["k"], "time", late, "i", "i", stateful.end_marks(spark, out))
+    return sorted((r.k, r.i, r.body, r.seen, r.at, r.offset_us) for r in stateful.drained(got, out, ends=True).collect())
+
+
+def test_stream_alignment_equals_the_batch_form(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(rng.choice("ab"), 1_700_000_000 + rng.randrange(40_000), i, rng.random() < 0.4) for i in range(300)]
+    rows += [("only anchors", 1_700_000_000 + i, 900 + i, True) for i in range(3)] + [("late view", 1_700_000_500, 950, True), ("late view", 1_700_030_000, 951, False)]
+    want = []
+    for k, t, i, anchor in rows:
+        near = [(abs(at - t), at, (-1 if at <= t else 1) * j, j) for kk, at, j, a in rows if kk == k and not a]
+        if anchor and near:
+            _, at, _, j = min(near)
+            want.append((k, i, f"body {i}", f"body {j}", at, (at - t) * 1_000_000))
+    for folder, parts, shuffled in (("one", 1, None), ("many", 6, None), ("mixed", 6, random.Random(1))):
+        assert aligned_in_batches(spark, sorted(rows, key=lambda r: r[1]), tmp_path, folder, parts, shuffled=shuffled) == sorted(want)
+
+
+def test_late_rows_take_no_part(spark, tmp_path):
+    t = 1_700_000_000
+    rows = [("a", t, 1, False), ("a", t + 50_000, 2, False), ("a", t + 90_000, 3, False), ("a", t + 10, 4, True), ("a", t + 49_000, 5, False), ("a", t + 88_000, 6, True)]
+    got = aligned_in_batches(spark, rows, tmp_path, "late", len(rows))
+    assert [(r[1], r[3]) for r in got] == [(6, "body 3")]
 
 
 def test_fan_out(spark, sf, tmp_path):
