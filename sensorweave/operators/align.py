@@ -86,12 +86,13 @@ def asof_buffered(left: DataFrame, right: DataFrame, right_cols: list[str], mode
     """Alignment against a bounded FIFO of right rows, as a clamp of row numbers.
 
     ``replay``: before the i-th anchor floor((i + 1) * rate_ratio) right rows have
-    been pushed.  ``bench``: all of them have.  The newest ``cap`` (at least one)
+    been pushed.  ``live``: one with the first anchor and with every ``rate_ratio``-th
+    after it.  ``bench``: all of them have.  The newest ``cap`` (at least one)
     are visible; ordered input makes them a range [lo, hi) of row numbers.  Rows
     are numbered and aligned by buckets of ``width``.  ``limits`` names two of the
     anchors' columns that hold each one's rate ratio and cap.
     """
-    if mode not in ("replay", "bench"):
+    if mode not in ("replay", "live", "bench"):
         raise ValueError(mode)
     numbered = with_global_row_number(right, ts, width, "__n", by, [right_idx]).withColumn("__n", F.col("__n") - 1)
     anchors = with_global_row_number(left, ts, width, "__row", by, [left_idx])
@@ -100,7 +101,8 @@ def asof_buffered(left: DataFrame, right: DataFrame, right_cols: list[str], mode
     most = F.greatest(most.cast("bigint"), F.lit(1))
     total = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))
     near = near.join(total, by, "left") if by else near.crossJoin(total)  # one row without keys
-    pushed = F.floor(F.col("__l")["__row"] * ratio).cast("bigint") if mode == "replay" else F.col("__total")
+    row = F.col("__l")["__row"]
+    pushed = {"replay": F.floor(row * ratio).cast("bigint"), "live": F.floor((row - 1) / ratio).cast("bigint") + 1, "bench": F.col("__total")}[mode]
     near = near.withColumn("__hi", F.least(F.coalesce("__total", F.lit(0)), pushed)).withColumn("__lo", F.greatest(F.lit(0), F.col("__hi") - most)).where("__hi > 0")
     at = F.coalesce(F.col("__before")["__n"], F.lit(-1))
     low, high = F.least(at, F.col("__hi") - 1), F.greatest(at + 1, F.col("__lo"))

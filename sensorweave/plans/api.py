@@ -59,10 +59,17 @@ def replay(spark: SparkSession, path: str, model: str | None = None, mode: str =
 
 
 def simulate_live(spark: SparkSession, seconds: float = 1.0, channels: int = 64, rate_hz: float = 256.0, gaze_rate_hz: float = 60.0) -> DataFrame:
-    """Packets of simulated streams; windows that are not full count as ``observe``, as a live feed has it."""
-    eeg = simulate.simulated_eeg(spark, int(seconds * rate_hz), channels, rate_hz)
-    gaze = simulate.simulated_gaze(spark, int(seconds * gaze_rate_hz) + 1, gaze_rate_hz)
-    return packets.fused_packets(align.asof_nearest(eeg, gaze, GAZE), rate_hz, waiting_class="observe")
+    """Packets of simulated streams as a live feed has them.
+
+    Gaze comes with the first EEG frame at or after its interval's end, so with
+    every so-manieth frame; windows that are not full count as ``observe``.
+    """
+    step = -(-int(1e9 / gaze_rate_hz) // int(1e9 / rate_hz))
+    frames = int(seconds * rate_hz)
+    eeg = simulate.simulated_eeg(spark, frames, channels, rate_hz)
+    gaze = simulate.simulated_gaze(spark, -(-frames // step), gaze_rate_hz)
+    aligned = align.asof_buffered(eeg, gaze, GAZE, "live", float(step))
+    return packets.fused_packets(aligned, rate_hz, waiting_class="observe")
 
 
 def audit(spark: SparkSession, packet_count: int = 100_000, channels: int = 64, samples_per_channel: int = 500, drop_rate: float = 0.0, corrupt_rate: float = 0.0) -> DataFrame:

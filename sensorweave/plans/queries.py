@@ -15,7 +15,7 @@ from ..operators import align, faults, stats, windows
 from ..schema import AuditConfig
 from ..sources import corec, simulate, text
 from ..streaming import stateful
-from . import packets, reports, views
+from . import api, packets, reports, views
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -362,18 +362,6 @@ def pseudo_gaussian(spark: SparkSession, d: str) -> DataFrame:
     return views.arrivals(spark, d).select("event_id", F.round(scalar.pseudo_gaussian(F.col("event_id")), 6).alias("noise"))
 
 
-@query("WITH f AS (SELECT i, c, i / 256.0 + c * 0.1 AS t FROM range(0, 500) a(i), range(0, 4) b(c)) SELECT i::BIGINT AS sequence_id, c::BIGINT AS channel, round(sin(2 * pi() * 10 * t) * 20 + sin(2 * pi() * 20 * t) * 10, 6) AS wave FROM f")
-def simulated_eeg(spark: SparkSession, d: str) -> DataFrame:
-    """The noise-free waves of the simulated source; tests hold the noise against published values."""
-    frames = simulate.simulated_eeg(spark, 500, 4)
-    one = frames.select("sequence_id", F.posexplode("channels").alias("channel", "v"))
-    t = F.col("sequence_id") / 256.0 + F.col("channel") * 0.1
-    wave = F.sin(2 * math.pi * 10 * t) * 20 + F.sin(2 * math.pi * 20 * t) * 10
-    noise = scalar.pseudo_gaussian(F.col("sequence_id") * 1000 + F.col("channel")) * 5
-    ok = F.abs(F.col("v") - (wave + noise)) < 1e-4
-    return one.select("sequence_id", F.col("channel").cast("bigint").alias("channel"), F.when(ok, F.round(wave, 6)).alias("wave"))
-
-
 def _xs(e: str) -> str:
     """One xorshift step of an unsigned expression."""
     for op in ("<< 13", ">> 7", "<< 17"):
@@ -387,6 +375,13 @@ def _gauss(e: str) -> str:
     return f"(sqrt(-2 * ln(greatest({unit(e)}, 1e-30))) * cos(2 * pi() * {unit(f'{e} + 1')}))"
 
 
+@query(f"WITH f AS (SELECT i, c, i / 256.0 + c * 0.1 AS t FROM range(0, 500) a(i), range(0, 4) b(c)) SELECT i::BIGINT AS sequence_id, c::BIGINT AS channel, round((sin(2 * pi() * 10 * t) * 20 + sin(2 * pi() * 20 * t) * 10 + {_gauss('(i * 1000 + c)')} * 5)::FLOAT::DOUBLE, 3) AS value FROM f")
+def simulated_eeg(spark: SparkSession, d: str) -> DataFrame:
+    frames = simulate.simulated_eeg(spark, 500, 4)
+    one = frames.select("sequence_id", F.posexplode("channels").alias("channel", "v"))
+    return one.select("sequence_id", F.col("channel").cast("bigint").alias("channel"), F.round(F.col("v").cast("double"), 3).alias("value"))
+
+
 @query(f"""WITH RECURSIVE j(jump) AS (SELECT {simulate.FIRST_SACCADE}::BIGINT UNION ALL SELECT jump + 30 + ({_xs('(jump * 7919 + 15)::UBIGINT')} % 60)::BIGINT FROM j WHERE jump < 2000),
 f AS (SELECT i, max(jump) AS jump FROM range(0, 2000) r(i) LEFT JOIN j ON j.jump <= i GROUP BY i),
 g AS (SELECT i, CASE WHEN jump IS NULL THEN 0 ELSE {_gauss('(jump * 7919 + 13)')} * 15 END::FLOAT AS x, CASE WHEN jump IS NULL THEN 0 ELSE {_gauss('(jump * 7919 + 14)')} * 10 END::FLOAT AS y,
@@ -397,16 +392,22 @@ def simulated_gaze(spark: SparkSession, d: str) -> DataFrame:
     return g.select("idx", "timestamp_ns", *[F.round(F.col(c).cast("double"), 3).alias(c) for c in ("x", "y", "pupil_diameter")])
 
 
-@query(f"""WITH RECURSIVE s(i, d, c, dropped, position) AS (SELECT -1::BIGINT, {faults.DROP_SEED}::UBIGINT, {faults.CORRUPT_SEED}::UBIGINT, false, NULL::BIGINT UNION ALL
-SELECT i + 1, d1, CASE WHEN d1 < {int(0.01 * 2.0**64)}::UBIGINT THEN c WHEN c1 < {int(0.005 * 2.0**64)}::UBIGINT THEN {_xs('c1')} ELSE c1 END, d1 < {int(0.01 * 2.0**64)}::UBIGINT,
-  CASE WHEN d1 >= {int(0.01 * 2.0**64)}::UBIGINT AND c1 < {int(0.005 * 2.0**64)}::UBIGINT THEN ({_xs('c1')} % 128020)::BIGINT END
-FROM (SELECT i, c, {_xs('d')} AS d1, {_xs('c')} AS c1 FROM s WHERE i < 1999))
-SELECT i AS packet, dropped, position FROM s WHERE i >= 0""")
+def _faults_sql(packets: int, drop_rate: float, corrupt_rate: float, size: int) -> str:
+    """s(i, ..., dropped, position): both fault streams, packet by packet."""
+    drop, hit = int(drop_rate * 2.0**64), int(corrupt_rate * 2.0**64)
+    return f"""RECURSIVE s(i, d, c, dropped, position) AS (SELECT -1::BIGINT, {faults.DROP_SEED}::UBIGINT, {faults.CORRUPT_SEED}::UBIGINT, false, NULL::BIGINT UNION ALL
+SELECT i + 1, d1, CASE WHEN d1 < {drop}::UBIGINT THEN c WHEN c1 < {hit}::UBIGINT THEN {_xs('c1')} ELSE c1 END, d1 < {drop}::UBIGINT,
+  CASE WHEN d1 >= {drop}::UBIGINT AND c1 < {hit}::UBIGINT THEN ({_xs('c1')} % {size})::BIGINT END
+FROM (SELECT i, c, {_xs('d')} AS d1, {_xs('c')} AS c1 FROM s WHERE i < {packets - 1}))"""
+
+
+@query(f"WITH {_faults_sql(2000, 0.01, 0.005, 128_020)} SELECT i AS packet, dropped, position FROM s WHERE i >= 0")
 def fault_drop_corrupt(spark: SparkSession, d: str) -> DataFrame:
     return faults.fault_plan(spark, 2_000, 0.01, 0.005, 128_020)
 
 
-@query("SELECT 10000::BIGINT AS seen, 85::BIGINT AS dropped, 51::BIGINT AS corrupted, 9915::BIGINT AS sent, 0.0085::DOUBLE AS drop_fraction, round(85 / 9915.0::DOUBLE, 10) AS loss_fraction, round((10000 - 9915) / 10000.0::DOUBLE * 100, 10) AS loss_percent")
+@query(f"""WITH {_faults_sql(10_000, 0.01, 0.005, 128_020)}, n AS (SELECT count(*) AS seen, count(*) FILTER (WHERE dropped) AS dropped, count(position) AS corrupted, count(*) FILTER (WHERE NOT dropped) AS sent FROM s WHERE i >= 0)
+SELECT seen::BIGINT AS seen, dropped::BIGINT AS dropped, corrupted::BIGINT AS corrupted, sent::BIGINT AS sent, dropped / seen::DOUBLE AS drop_fraction, round(dropped / sent::DOUBLE, 10) AS loss_fraction, round((seen - sent) / seen::DOUBLE * 100, 10) AS loss_percent FROM n""")
 def loss_metrics(spark: SparkSession, d: str) -> DataFrame:
     s = faults.fault_summary(faults.fault_plan(spark, 10_000, 0.01, 0.005, 128_020))
     return s.withColumn("loss_fraction", F.round(stats.loss_fraction(F.col("sent"), F.col("dropped"), F.lit(0)), 10)).withColumn("loss_percent", F.round(stats.loss_percent(F.col("seen"), F.col("sent")), 10))
@@ -427,9 +428,30 @@ def decode_errors(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("name", wire.decode_neural_packet("payload").alias("p")).select("name", F.col("p.error").alias("error"))
 
 
-@query()
+#: The audit's configuration, and the bytes of a packet and of those before its samples.
+AUDIT = AuditConfig(packet_count=2_000, channel_count=8, samples_per_channel=16, drop_rate=0.01, corrupt_rate=0.005)
+AUDIT_BYTES = len(wire.encode_packet(1 << 60, 8, [0.0] * 128, 2_000))
+_LATENCY = ", ".join(f"coalesce(max(ns) FILTER (WHERE p = {p}), 0)::BIGINT AS latency_p{str(p).removesuffix('.0').replace('.', '')}_ns" for p in reports.PERCENTS)
+
+
+@query(f"""WITH {_faults_sql(2000, 0.01, 0.005, AUDIT_BYTES)},
+k AS (SELECT i, dropped, position, (1::BIGINT << 60) + i * 125000 AS send FROM s WHERE i >= 0),
+v AS (SELECT *, send + 42100 + (({_xs('greatest(i, 1)::UBIGINT')} >> 3) % 258000)::BIGINT AS recv FROM k),
+c AS (SELECT count(*) FILTER (WHERE NOT dropped) AS sent, count(*) FILTER (WHERE dropped) AS lost, count(position) AS hit, (max(recv) - min(send)) / 1e6 AS ms FROM v),
+l AS (SELECT recv - send AS ns FROM v WHERE NOT dropped),
+h AS (SELECT length(bin(ns)) - 1 AS bucket, count(*) AS n FROM l GROUP BY 1),
+r AS (SELECT *, sum(n) OVER (ORDER BY bucket) AS run, sum(n) OVER () AS total FROM h),
+q AS (SELECT p, 1::BIGINT << min(bucket)::INT AS ns FROM r, (VALUES {', '.join(f'({p})' for p in reports.PERCENTS)}) w(p) WHERE run >= greatest(1, ceil(total * p / 100)) GROUP BY p),
+j AS (SELECT greatest(recv - lag(recv) OVER (ORDER BY i), 0) AS step FROM v WHERE NOT dropped)
+SELECT sent::BIGINT AS packets_sent, sent::BIGINT AS packets_received, lost::BIGINT AS packets_dropped, hit::BIGINT AS packets_corrupted, 0::BIGINT AS decode_errors, ms::DOUBLE AS duration_ms, pq.*,
+  (SELECT (sum(ns) // count(*))::BIGINT FROM l) AS latency_mean_ns, (SELECT min(ns)::BIGINT FROM l) AS latency_min_ns, (SELECT max(ns)::BIGINT FROM l) AS latency_max_ns,
+  (SELECT round(stddev_samp(step), 4) FROM j) AS jitter_std_dev_ns, (SELECT round(avg(step), 4) FROM j) AS mean_interval_ns,
+  round(sent / (ms / 1000), 6) AS throughput_pps, round(lost / sent::DOUBLE, 12) AS loss_fraction, 0::BIGINT AS heap_allocs
+FROM c, (SELECT {_LATENCY} FROM q) pq""")
 def audit_report(spark: SparkSession, d: str) -> DataFrame:
-    return reports.audit_report(reports.audit_packets(spark, AuditConfig(packet_count=10_000, channel_count=8, samples_per_channel=16, drop_rate=0.01, corrupt_rate=0.005)))
+    """No hit of this run falls on a byte before the samples, so nothing fails to decode."""
+    out = reports.audit_report(reports.audit_packets(spark, AUDIT))
+    return out.withColumns({c: F.round(c, n) for c, n in (("jitter_std_dev_ns", 4), ("mean_interval_ns", 4), ("throughput_pps", 6), ("loss_fraction", 12))})
 
 
 @query("SELECT user_id::BIGINT AS user_id, event_id::BIGINT AS event_id, epoch_us(ts) - min(epoch_us(ts)) OVER (PARTITION BY user_id) AS ts_us FROM events")
@@ -492,8 +514,13 @@ def _stream(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.gettempdir()
-    return f"{base.rstrip('/')}/stream-{os.urandom(8).hex()}"
+    """A new folder where the driver and all executors see it; of our own only for a local master."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = "file://" + tempfile.gettempdir()
+    return f"{base.rstrip('/')}/run-{os.urandom(8).hex()}"
 
 
 @query(f"WITH {ASOF} SELECT user_id, t AS ts_us, event_id, v AS value, matched AS matched_us, matched - t AS offset_us FROM m")
@@ -535,20 +562,73 @@ def stream_interval_join(spark: SparkSession, d: str) -> DataFrame:
     return stateful.drained(out, _folder(spark))
 
 
-@query("SELECT vec_id::BIGINT AS sequence_id, vec_id * 3906250::BIGINT AS timestamp_ns, len(embedding)::BIGINT AS n_channels, round(list_sum([x::DOUBLE for x in embedding]), 5) AS total FROM embeddings")
-def corec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
-    """The frames written as a recording and scanned back in small splits; all gaze frames must come back, too."""
+def _recording(spark: SparkSession, d: str) -> str:
+    """All frames of the test tables written as one recording, in the shared folder."""
     corec.register(spark)
-    path = os.path.join(tempfile.mkdtemp(prefix="corec-"), "all.corec")
+    path = f"{_folder(spark)}/all.corec"
     corec.write_corec(path, RATE, 60.0, views.eeg(spark, d), views.gaze(spark, d))
-    back = spark.read.format("corec").options(section="gaze", framesPerPartition=8192).load(path)
-    frame = F.xxhash64("timestamp_ns", *[F.col(c).cast("float") for c in ("x", "y", "pupil_diameter")]).cast("decimal(20,0)")
-    sums = [df.agg(F.count(F.lit(1)), F.sum(frame)).first() for df in (views.gaze(spark, d), back)]
-    if sums[0] != sums[1]:
-        raise ValueError(f"gaze frames written {sums[0]}, read back {sums[1]}")
-    got = spark.read.format("corec").option("framesPerPartition", 128).load(path)
+    return path
+
+
+def _frames(df: DataFrame) -> DataFrame:
     total = F.aggregate("channels", F.lit(0.0), lambda s, x: s + x.cast("double"))
-    return got.select("sequence_id", "timestamp_ns", F.size("channels").cast("bigint").alias("n_channels"), F.round(total, 5).alias("total"))
+    return df.select("sequence_id", "timestamp_ns", F.size("channels").cast("bigint").alias("n_channels"), F.round(total, 5).alias("total"))
+
+
+@query("SELECT vec_id::BIGINT AS sequence_id, vec_id * 3906250::BIGINT AS timestamp_ns, len(embedding)::BIGINT AS n_channels, round(list_sum([x::DOUBLE for x in embedding]), 5) AS total FROM embeddings")
+def corec_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """The EEG frames written as a recording and scanned back in small splits."""
+    return _frames(spark.read.format("corec").option("framesPerPartition", 128).load(_recording(spark, d)))
+
+
+@query(ORACLE["corec_roundtrip"])
+def stream_replay(spark: SparkSession, d: str) -> DataFrame:
+    """The recording followed as a stream."""
+    stream = spark.readStream.format("corec").option("framesPerPartition", 4096).load(_recording(spark, d))
+    return _frames(stateful.drained(stream, _folder(spark)))
+
+
+@query("SELECT event_id::BIGINT AS idx, event_id * 16666667::BIGINT AS timestamp_ns, value::FLOAT AS x, user_id::FLOAT AS y, 3.0::FLOAT AS pupil_diameter FROM events")
+def corec_gaze(spark: SparkSession, d: str) -> DataFrame:
+    """All gaze frames of the recording, scanned back."""
+    return spark.read.format("corec").options(section="gaze", framesPerPartition=8192).load(_recording(spark, d)).drop("recording")
+
+
+@query("SELECT 'all.corec' AS recording, 256.0::DOUBLE AS sample_rate_hz, (SELECT max(len(embedding)) FROM embeddings)::BIGINT AS eeg_channels, 60.0::DOUBLE AS gaze_rate_hz, (SELECT count(*) FROM embeddings)::BIGINT AS num_eeg_frames, (SELECT count(*) FROM events)::BIGINT AS num_gaze_frames")
+def corec_header(spark: SparkSession, d: str) -> DataFrame:
+    return spark.read.format("corec").option("section", "header").load(_recording(spark, d))
+
+
+@query(_clamped("(SELECT count(*) FROM q)", "greatest(0, hi - 256)").rpartition("SELECT sequence_id, t AS")[0] + """, m AS (SELECT *, abs(g - t) AS off FROM c WHERE rk = 1),
+h AS (SELECT CASE WHEN off = 0 THEN 0 ELSE length(bin(off)) - 1 END AS bucket, count(*) AS n FROM m GROUP BY 1),
+r AS (SELECT *, sum(n) OVER (ORDER BY bucket) AS run, sum(n) OVER () AS total FROM h),
+w AS (SELECT p, (1::BIGINT << min(bucket)::INT) AS ns FROM r, (VALUES (50.0), (90.0), (99.0)) v(p) WHERE run >= greatest(1, ceil(total * p / 100)) GROUP BY p)
+SELECT count(*)::BIGINT AS fused, (count(*) // 100)::BIGINT AS features, greatest(0, count(*) // 100 - 4)::BIGINT AS inferences, round(avg((off > 10000000)::INT) * 100, 8) AS degraded_percent, round(avg(off), 2) AS mean_alignment_ns,
+  (SELECT ns FROM w WHERE p = 50) AS offset_p50_ns, (SELECT ns FROM w WHERE p = 90) AS offset_p90_ns, (SELECT ns FROM w WHERE p = 99) AS offset_p99_ns FROM m""")
+def replay_bench(spark: SparkSession, d: str) -> DataFrame:
+    """What the replay benchmark counts; its times are left out."""
+    got = api.replay_bench(spark, _recording(spark, d))
+    kinds = {"fused": "long", "features": "long", "inferences": "long", "degraded_percent": "double", "mean_alignment_ns": "double", **{f"offset_p{p}_ns": "long" for p in (50, 90, 99)}}
+    row = spark.createDataFrame([tuple(got[k] for k in kinds)], ", ".join(f"{k} {v}" for k, v in kinds.items()))
+    return row.withColumn("degraded_percent", F.round("degraded_percent", 8)).withColumn("mean_alignment_ns", F.round("mean_alignment_ns", 2))
+
+
+@query("SELECT row_number() OVER (ORDER BY event_id) AS idx, (epoch_us(ts) - first_value(epoch_us(ts)) OVER (ORDER BY event_id)) * 1000 AS timestamp_ns, value::FLOAT AS x, user_id::FLOAT AS y, 3.0::FLOAT AS pupil_diameter FROM events")
+def gaze_csv(spark: SparkSession, d: str) -> DataFrame:
+    """The events as a text export, read back line by line."""
+    path = _folder(spark)
+    e = views.arrivals(spark, d).select(F.format_string("%d.%06d", F.floor(F.col("ts_us") / 1_000_000).cast("bigint"), F.pmod("ts_us", F.lit(1_000_000))).alias("t"), "value", "user_id", "event_id")
+    e.repartition(1).sortWithinPartitions("event_id").drop("event_id").write.option("header", True).csv(path)  # an export is one file
+    seconds = text.read_gaze_csv(spark, path)
+    return seconds.select("idx", (F.round(F.col("timestamp_ns") / 1000) * 1000).cast("bigint").alias("timestamp_ns"), "x", "y", "pupil_diameter")
+
+
+@query(f"""WITH w AS (SELECT vec_id::BIGINT AS sequence_id, list_concat([0.0 for i in range(12)], [x::DOUBLE for x in embedding[1:20]]) AS s FROM embeddings), p AS (SELECT sequence_id, {_spectrum_sql(32)} AS p FROM w),
+bands AS (SELECT sequence_id, {_bands_sql(32, RATE)} FROM p) SELECT sequence_id, {', '.join(f'round({n}, 10) AS {n}' for n in [*NAMES, 'total'])} FROM bands""")
+def padded_spectrum(spark: SparkSession, d: str) -> DataFrame:
+    """Band powers of windows shorter than the transform: zeros stand before them."""
+    df = views.eeg(spark, d).withColumn("s", signal.newest(F.transform(F.slice("channels", 1, 20), lambda x: x.cast("double")), 32)).withColumn("p", signal.power_spectrum(F.col("s"), 32))
+    return df.select("sequence_id", *signal.band_powers(F.col("p"), 32, RATE)).select("sequence_id", *[F.round(n, 10).alias(n) for n in [*NAMES, "total"]])
 
 
 @query("WITH r AS (SELECT vec_id::BIGINT + 1 AS rn, embedding FROM embeddings), e AS (SELECT rn AS w FROM r WHERE rn >= 50 AND rn % 25 = 0) SELECT w AS window_end, (len(embedding) * 50)::BIGINT AS n_values, round(sum(embedding[1]::DOUBLE * (rn - w + 50)), 5) AS weighted FROM e JOIN r ON rn > w - 50 AND rn <= w GROUP BY w, len(embedding)")

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import wire
+from ..functions import scalar, wire
 from ..operators import faults, stats
 from ..schema import AuditConfig
 
@@ -18,7 +18,7 @@ def audit_packets(spark: SparkSession, cfg: AuditConfig, send_step_ns: int = 125
     """Every packet with its faults, decoded: packet, dropped, corrupted, send_ns, recv_ns, error.
 
     Times are columns, so a run is reproducible: packets leave every
-    ``send_step_ns`` and take 42 to 300 microseconds by their number's hash.
+    ``send_step_ns`` and take 42 to 300 microseconds by their number's noise.
     """
     samples = F.transform(F.sequence(F.lit(0), F.lit(cfg.channel_count * cfg.samples_per_channel - 1)), lambda i: F.sin(i.cast("float").cast("double")).cast("float"))
     n = cfg.channel_count * cfg.samples_per_channel
@@ -26,7 +26,7 @@ def audit_packets(spark: SparkSession, cfg: AuditConfig, send_step_ns: int = 125
     plan = faults.fault_plan(spark, cfg.packet_count, cfg.drop_rate, cfg.corrupt_rate, size).repartition(slices, "packet")
     send = F.lit(1 << 60) + F.col("packet") * send_step_ns
     sent = plan.select("packet", "dropped", F.col("position").isNotNull().alias("corrupted"), "position", send.alias("send_ns"))
-    sent = sent.withColumn("recv_ns", F.col("send_ns") + 42_100 + F.pmod(F.xxhash64("packet"), F.lit(258_000)))
+    sent = sent.withColumn("recv_ns", F.col("send_ns") + 42_100 + F.pmod(F.shiftrightunsigned(scalar.xorshift(F.col("packet")), 3), F.lit(258_000)))
     payload = wire.encode_neural_packet("send_ns", F.lit(cfg.channel_count).cast("bigint"), samples, "packet")
     got = F.when(~F.col("dropped"), wire.decode_neural_packet(faults.flip_byte(payload, "position")))
     return sent.withColumn("packet_out", got).select("packet", "dropped", "corrupted", "send_ns", "recv_ns", F.col("packet_out.error").alias("error"))

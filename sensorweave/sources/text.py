@@ -16,9 +16,17 @@ PUPIL = 3.0
 
 
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """recording, line (from 0) and text of text files; order is that within each file."""
-    lines = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("recording"), F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    return lines.where(F.trim("text") != "")
+    """recording, line (from 0) and text of text files; order is that within each file.
+
+    A long file is read in blocks; their counts, one row a block, give the numbers.
+    """
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"), F.col("value").alias("text"))
+    inside = F.row_number().over(Window.partitionBy("file", "block").orderBy("at")) - 1
+    counts = lines.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = counts.select("file", "block", F.coalesce(before, F.lit(0)).alias("offset"))
+    numbered = lines.withColumn("inside", inside).join(offsets, ["file", "block"])
+    return numbered.select(F.element_at(F.split("file", "/"), -1).alias("recording"), (F.col("inside") + F.col("offset")).cast("bigint").alias("line"), "text").where(F.trim("text") != "")
 
 
 def value_or(parts: Column, at: int | None, default: float) -> Column:
@@ -98,16 +106,28 @@ def placeholder_gaze(spark: SparkSession, n: int, rate_hz: float, recording: str
 
 
 def read_benchmark_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row a log file: channels, rate, duration, throughput and real-time factor by pattern."""
-    lines = spark.read.text(path).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("recording"), "value")
-    found = lambda pattern, kind: F.max(F.nullif(F.regexp_replace(F.regexp_extract("value", pattern, 1), ",", ""), F.lit("")).try_cast(kind))
+    """One row a log file: subject and data set by its name, and what its lines say; the last line that says it counts.
+
+    ``fusion_p50`` and ``feature_p50`` are texts of a number and a unit.
+    """
+    lines = numbered_lines(spark, path)
+    channels = r"(\d+)\s*(?:EEG )?ch.*@\s*([\d.]+)\s*Hz"
+    p50 = r".*p50[:\s]+([\d.]+\s*(?:ns|us|µs|ms))"
+
+    def found(pattern: str, kind: str, group: int = 1) -> Column:
+        got = F.nullif(F.regexp_extract("text", pattern, group), F.lit(""))
+        value = F.regexp_replace(got, ",", "").try_cast(kind) if kind != "string" else F.regexp_replace(got, r"([\d.]+)\s*", "$1 ")
+        return F.max_by(value, F.when(value.isNotNull(), F.col("line")))
+
     return lines.groupBy("recording").agg(
-        found(r"(\d+) EEG channels", "bigint").alias("channels"),
-        found(r"@\s*([\d.]+)\s*Hz", "double").alias("rate_hz"),
+        found(channels, "bigint").alias("channels"),
+        found(channels, "double", 2).alias("rate_hz"),
         found(r"[Dd]uration\D*([\d.]+)\s*s", "double").alias("duration_s"),
         found(r"([\d,]+)\s*frames/sec", "bigint").alias("throughput"),
-        found(r"([\d,.]+)x", "double").alias("rt_factor"),
-    )
+        found(r"[Rr]eal-time\D*([\d,.]+)x", "double").alias("rt_factor"),
+        found("Fusion" + p50, "string").alias("fusion_p50"),
+        found("Feature" + p50, "string").alias("feature_p50"),
+    ).withColumns({"subject": F.regexp_extract("recording", r"^(?:rsod-|als-)?(.*?)(?:\.[^.]*)?$", 1), "dataset": dataset_of(F.col("recording"))})
 
 
 def dataset_of(recording: Column) -> Column:

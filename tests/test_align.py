@@ -62,11 +62,12 @@ def test_forms_agree_with_brute_force(spark):
     for out in (align.asof_nearest(left, right, ["k"]), align.asof_nearest_bucketed(left, right, ["k"], 37)):
         got = {r.sequence_id: (r.matched_ns, r.k) for r in out.collect()}
         assert got == {i: brute(gaze, t) for i, t in enumerate(eeg)}
-    for mode, cap in (("replay", 7), ("replay", 0), ("bench", 16)):
-        got = {r.sequence_id: r.matched_ns for r in align.asof_buffered(left, right, ["k"], mode, 0.6, cap).collect()}
+    for mode, cap, width in (("replay", 7, 40), ("replay", 0, 10**9), ("bench", 16, 100), ("live", 9, 70)):
+        ratio = 2.0 if mode == "live" else 0.6
+        got = {r.sequence_id: r.matched_ns for r in align.asof_buffered(left, right, ["k"], mode, ratio, cap, width=width).collect()}
         want = {}
         for i, t in enumerate(eeg):
-            hi = min(len(gaze), int((i + 1) * 0.6)) if mode == "replay" else len(gaze)
+            hi = min(len(gaze), {"replay": int((i + 1) * 0.6), "live": i // 2 + 1, "bench": len(gaze)}[mode])
             if near := brute(gaze, t, max(0, hi - max(cap, 1)), hi):
                 want[i] = near[0]
         assert got == want

@@ -1,12 +1,11 @@
 import io
 import struct
-from types import SimpleNamespace
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sensorweave.plans import packets, queries
+from sensorweave.plans import packets
 from sensorweave.sources import arrays, corec, simulate, text
 
 
@@ -95,9 +94,21 @@ def test_physio_tsv(spark, tmp_path):
 
 def test_benchmark_log(spark, tmp_path):
     f = tmp_path / "als-1.log"
-    f.write_text("32 EEG channels @ 128 Hz\nDuration: 60.5 s\nThroughput: 1,234,567 frames/sec\nReal-time 9,000.5x\n")
+    f.write_text("32 EEG channels @ 128 Hz\nDuration: 60.5 s\nThroughput: 99 frames/sec\nThroughput: 1,234,567 frames/sec\nReal-time 9,000.5x\nFusion latency p50: 96ns p99: 3 us\nFeature extraction p50 1.5 µs\n")
     row = text.read_benchmark_log(spark, str(f)).first()
-    assert tuple(row)[1:] == (32, 128.0, 60.5, 1_234_567, 9000.5)
+    assert tuple(row)[1:] == (32, 128.0, 60.5, 1_234_567, 9000.5, "96 ns", "1.5 µs", "1", "EEGET-ALS")
+
+
+def test_lines_of_long_files(spark, tmp_path):
+    for name, n in (("a", 4000), ("b", 10)):
+        (tmp_path / f"{name}.txt").write_text("".join(f"{name}{i}\r\n" if i % 7 else "\r\n" for i in range(n)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "999b")
+    try:
+        rows = text.numbered_lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted((r.recording, r.line, r.text) for r in rows) == sorted((f"{x}.txt", i, f"{x}{i}") for x, n in (("a", 4000), ("b", 10)) for i in range(n) if i % 7)
 
 
 def test_npz(spark, tmp_path):
@@ -163,15 +174,3 @@ def test_file_is_little_endian(recording):
     with open(path, "rb") as f:
         f.seek(40 + 24)
         assert struct.unpack("<Qf", f.read(12)) == (3_906_250, pytest.approx(3.2))
-
-
-def test_recording_query_holds_all_gaze_frames(spark, sf, monkeypatch):
-    written = []
-
-    def write(path, *args):
-        corec.write_corec(path, *args)
-        written.append(corec.read_header(path).num_gaze_frames)
-
-    monkeypatch.setattr(queries, "corec", SimpleNamespace(register=corec.register, write_corec=write))
-    assert queries.corec_roundtrip(spark, sf).count() > 0
-    assert written == [spark.read.parquet(f"{sf}/events.parquet").count()] and written[0] > 100
