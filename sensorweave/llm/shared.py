@@ -54,17 +54,20 @@ def written(df: DataFrame, label: str) -> DataFrame:
     path = shared_folder(spark, label)
     modest_batches(spark)
     with _shuffles_removed(spark):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.parquet(path)
     if _open:
         _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def modest_batches(spark: SparkSession, most: int = 4 << 20) -> None:
-    """From now on the session hands at most about ``most`` bytes of rows to Python at once, so that long texts come few at a time."""
+    """From now on the session hands at most about ``most`` bytes of rows to Python at once and reads Parquet in small batches, so that long texts come few at a time."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     if int(spark.conf.get(key, "67108864b").rstrip("b")) > most:
         spark.conf.set(key, most)
+    key = "spark.sql.parquet.columnarReaderBatchSize"
+    if int(spark.conf.get(key, "4096")) > 1024:
+        spark.conf.set(key, 1024)
 
 
 @contextmanager
