@@ -48,7 +48,7 @@ def default_model() -> str:
 class Pieces:
     """A merge model; ids are those of the model file."""
 
-    def __init__(self, model: str, rate: float = 0.1, seed: int = 1, limit: int = 250_000):
+    def __init__(self, model: str, rate: float = 0.1, seed: int = 1, limit: int = 500_000):
         import sentencepiece
 
         sp = sentencepiece.SentencePieceProcessor(model_file=model)
@@ -64,6 +64,7 @@ class Pieces:
         order = sorted(text, key=lambda i: (-sp.get_score(i), i))
         self.rank = np.full(self.size, _NEVER, np.int32)
         self.rank[order] = self._ranks([sp.get_score(i) for i in order])
+        self.never = np.int32(_NEVER) if len(order) >= 32767 else np.int16(32767)
         self.first = np.full(0x110000, -1, np.int32)
         for p, i in self.id_of.items():
             if len(p) == 1:
@@ -75,12 +76,29 @@ class Pieces:
                 a, b = self.id_of.get(p[:cut]), self.id_of.get(p[cut:])
                 if a is not None and b is not None:
                     pairs[a * self.size + b] = i
-        self.keys = np.array(sorted(pairs), np.int64)
-        self.joins = np.array([pairs[k] for k in self.keys.tolist()], np.int32)
         self.pairs = pairs
+        self._index(np.fromiter(pairs, np.int64, len(pairs)), np.fromiter(pairs.values(), np.int32, len(pairs)))
         self.threshold = np.uint64(min(int(rate * 2**64), 2**64 - 1))
         self._forget()
 
+    def _index(self, keys: np.ndarray, joins: np.ndarray) -> None:
+        """An open table of pairs, at most a quarter full: their keys, what they join to, and its rank."""
+        self.bits = np.uint64(64 - max(4, (4 * len(keys)).bit_length()))
+        size = 1 << (64 - int(self.bits))
+        self.keys, self.joins, self.orders = np.full(size, -1, np.int64), np.full(size, -1, np.int32), np.full(size, self.never)
+        at = self._slot(keys)
+        while len(keys):
+            free = np.flatnonzero(self.keys[at] < 0)
+            _, one = np.unique(at[free], return_index=True)
+            put = free[one]
+            self.keys[at[put]], self.joins[at[put]], self.orders[at[put]] = keys[put], joins[put], self.rank[joins[put]]
+            left = np.ones(len(keys), bool)
+            left[put] = False
+            keys, joins, at = keys[left], joins[left], (at[left] + 1) & (size - 1)
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.bits).astype(np.int64)
+
     def _forget(self) -> None:
         """Words without dropout: their numbers, ids, hashes, and the places of the candidates that their agendas take."""
         self.number: dict[str, int] = {}
@@ -97,7 +115,8 @@ class Pieces:
         return out
 
     def word_hashes(self, words: list[str]) -> np.ndarray:
-        return np.array([xxhash.xxh3_64_intdigest(f"{self.seed}/{w}".encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+        digest, seed = xxhash.xxh3_64_intdigest, self.seed
+        return np.array([digest(w.encode("utf-8", "surrogatepass"), seed) for w in words], np.uint64)
 
     def word_keys(self, words: list[str], variants: list[int]) -> np.ndarray:
         return mixed(self.word_hashes(words) ^ mixed(np.array(variants, np.uint64)))
@@ -143,66 +162,72 @@ class Pieces:
             offer(a, after[a])
         return [s for s, ok in zip(symbols, alive, strict=True) if ok]
 
-    def _joined(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """The piece that two symbols join to, -1 where none."""
-        key = a.astype(np.int64) * self.size + b
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where((a >= 0) & (b >= 0) & (self.keys[at] == key), self.joins[at], np.int32(-1))
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Where the table holds pairs of symbols; an empty place where it doesn't."""
+        key = np.where((a >= 0) & (b >= 0), a.astype(np.int64) * self.size + b, -2)
+        at = self._slot(key)
+        found = self.keys[at]
+        left = np.flatnonzero((found >= 0) & (found != key))
+        flat, wanted = at.reshape(-1), key.reshape(-1)
+        while len(left):
+            flat[left] = (flat[left] + 1) & (len(self.keys) - 1)
+            found = self.keys[flat[left]]
+            left = left[(found >= 0) & (found != wanted[left])]
+        return at
+
+    def many_words(self, words: list[str], keys: np.ndarray, taken: list | None = None) -> list[bytes]:
+        """Ids of many words of at most ``_LONG`` characters: their agendas, one step of each at a time; ``taken`` as above, with word numbers.
 
-    def many_words(self, words: list[tuple[str, int]], taken: list | None = None) -> list[bytes]:
-        """Ids of many words of at most ``_LONG`` characters: their agendas, one step of each at a time; ``taken`` as above, with word numbers."""
+        ``keys`` are those of :meth:`word_keys`.
+        """
         n = len(words)
-        lengths = np.array([len(w) for w, _ in words])
+        lengths = np.fromiter(map(len, words), np.int64, n)
         width = int(lengths.max()) + 1
-        points = np.frombuffer("".join(w for w, _ in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
         inside = np.arange(width)[None, :] < lengths[:, None]
         symbols = np.full((n, width), -(1 << 22), np.int32)
         first = self.first[points]
         symbols[inside] = np.where(first >= 0, first, -1 - points)
-        starts = np.broadcast_to(np.arange(width, dtype=np.int32), (n, width)).copy()
-        starts = np.minimum(starts, lengths[:, None].astype(np.int32))
-        keys = self.word_keys(*zip(*words, strict=True))
-        joined = np.full((n, width), -1, np.int32)
-        joined[:, :-1] = self._joined(symbols[:, :-1], symbols[:, 1:])
-        order = np.where(joined >= 0, self.rank[joined], _NEVER)
+        starts = np.minimum(np.arange(width, dtype=np.int8)[None, :], lengths[:, None].astype(np.int8))
+        order = np.full((n, width), self.never)
+        order[:, :-1] = self.orders[self._pairs(symbols[:, :-1], symbols[:, 1:])]
         out = [b""] * n
-        left = np.arange(n)
+        left, column = np.arange(n), np.arange(width)
         while len(left):
             at = order.argmin(axis=1)
             row = np.arange(len(left))
-            live = order[row, at] < _NEVER
-            if not live.all():
-                for i, n_left, s in zip(left[~live].tolist(), lengths[~live].tolist(), symbols[~live].astype("<u4"), strict=True):
-                    out[i] = s[:n_left].tobytes()
-                for r in np.flatnonzero(~live & ((symbols < 0) & (np.arange(width) < lengths[:, None])).any(axis=1)).tolist():
-                    out[left[r]] = self._bytes(symbols[r, : lengths[r]].tolist())
+            live = order[row, at] < self.never
+            if live.sum() <= 0.8 * len(left):  # finished words stay until a fifth is
+                self._finish(out, left[~live], lengths[~live], symbols[~live])
                 left, at, keys, lengths = left[live], at[live], keys[live], lengths[live]
-                symbols, starts, joined, order = symbols[live], starts[live], joined[live], order[live]
-                row = np.arange(len(left))
-                if not len(left):
-                    break
+                symbols, starts, order = symbols[live], starts[live], order[live]
+                row, live = np.arange(len(left)), np.ones(len(left), bool)
+            place = starts[row, at], starts[row, at + 1], starts[row, np.minimum(at + 2, width - 1)]
             if taken is not None:
-                taken.append((left[row], starts[row, at], starts[row, at + 1], starts[row, np.minimum(at + 2, width - 1)]))
+                taken.append((left[live], *(x[live] for x in place)))
             elif self.rate > 0:
-                skip = self._skipped(keys, starts[row, at], starts[row, at + 1], starts[row, np.minimum(at + 2, width - 1)])
-                order[row[skip], at[skip]] = _NEVER
-                row, at = row[~skip], at[~skip]
-                if not len(row):
-                    continue
-            symbols[row, at] = joined[row, at]
-            take = np.arange(width)[None, :] + (np.arange(width)[None, :] > at[:, None])
-            take = np.minimum(take, width - 1)
-            for m in (symbols, starts, joined, order):
-                m[row] = np.take_along_axis(m[row], take, axis=1)
+                skip = live & self._skipped(keys, *place)
+                order[row[skip], at[skip]] = self.never
+                live &= ~skip
+            if not live.any():
+                continue
+            row, at = row[live], at[live]
+            symbols[row, at] = self.joins[self._pairs(symbols[row, at], symbols[row, at + 1])]
+            last = np.full(len(left), width)
+            last[row] = at
+            behind = column[None, :-1] > last[:, None]
+            for m in (symbols, starts, order):
+                np.copyto(m[:, :-1], m[:, 1:].copy(), where=behind)
             lengths[row] -= 1
-            for side in (at - 1, at):
-                ok = side >= 0
-                r, s = row[ok], side[ok]
-                j = self._joined(symbols[r, s], symbols[r, s + 1])
-                joined[r, s] = j
-                order[r, s] = np.where(j >= 0, self.rank[j], _NEVER)
+            r, side = np.concatenate([row[at > 0], row]), np.concatenate([at[at > 0] - 1, at])
+            order[r, side] = self.orders[self._pairs(symbols[r, side], symbols[r, side + 1])]
         return out
 
+    def _finish(self, out: list[bytes], numbers: np.ndarray, lengths: np.ndarray, symbols: np.ndarray) -> None:
+        whole = np.logical_or.reduce((symbols < 0) & (np.arange(symbols.shape[1]) < lengths[:, None]), axis=1).tolist()
+        for i, n, s, odd in zip(numbers.tolist(), lengths.tolist(), symbols.astype("<u4"), whole, strict=True):
+            out[i] = self._bytes(s[:n].view("<i4").tolist()) if odd else s[:n].tobytes()
+
     def _bytes(self, symbols: list[int]) -> bytes:
         ids = []
         for s in symbols:
@@ -219,10 +244,10 @@ class Pieces:
             ids[w] = self._bytes(self.one_word(w, 0, taken))
             if taken:
                 owners.append(np.full(len(taken), at[w])), places.append(self._place_hashes(*np.array(taken).T))
-        short = [w for w in new if len(w) <= _LONG]
+        short = sorted((w for w in new if len(w) <= _LONG), key=len)  # words of one length are cheapest together
         for lo in range(0, len(short), 4096):
             part, taken = short[lo : lo + 4096], []
-            ids.update(zip(part, self.many_words([(w, 0) for w in part], taken), strict=True))
+            ids.update(zip(part, self.many_words(part, np.zeros(len(part), np.uint64), taken), strict=True))
             numbers = np.array([at[w] for w in part])
             for own, *place in taken:
                 owners.append(numbers[own]), places.append(self._place_hashes(*place))
@@ -266,13 +291,14 @@ class Pieces:
             first, n = self.first_place[number], self.first_place[number + 1] - self.first_place[number]
             own = np.repeat(np.arange(len(flat)), n)
             at = np.arange(len(own)) + np.repeat(first - (np.cumsum(n) - n), n)
-            hit = np.unique(own[mixed(drops[own] ^ self.places[at]) < self.threshold]).tolist()
-            short = [i for i in hit if len(flat[i]) <= _LONG]
-            for i in (i for i in hit if len(flat[i]) > _LONG):
+            hit = np.unique(own[mixed(drops[own] ^ self.places[at]) < self.threshold])
+            sizes = np.fromiter((len(flat[i]) for i in hit.tolist()), np.int64, len(hit))
+            short = hit[np.argsort(sizes, kind="stable")][: int((sizes <= _LONG).sum())].tolist()
+            for i in hit[sizes > _LONG].tolist():
                 parts[i] = self._bytes(self.one_word(flat[i], int(variants[i])))
             for lo in range(0, len(short), 4096):
                 some = short[lo : lo + 4096]
-                for i, ids in zip(some, self.many_words([(flat[i], int(variants[i])) for i in some]), strict=True):
+                for i, ids in zip(some, self.many_words([flat[i] for i in some], drops[some]), strict=True):
                     parts[i] = ids
         ends = np.cumsum([len(words) for words in cut]).tolist()
         return [b"".join(parts[end - len(words) : end]) for words, end in zip(cut, ends, strict=True)]

@@ -25,7 +25,7 @@ def test_without_dropout_it_is_the_library(texts, library):
 def test_batched_agendas_equal_the_heap(texts):
     model = Pieces(default_model(), rate=0.3, seed=5)
     w = sorted({x for t in texts.values() for x in pieces._WORD.findall(" " + t) if len(x) <= 24})[:4000] + ["日本", " ", "é"]
-    assert model.many_words([(x, 2) for x in w]) == [model._bytes(model.one_word(x, 2)) for x in w]
+    assert model.many_words(w, model.word_keys(w, [2] * len(w))) == [model._bytes(model.one_word(x, 2)) for x in w]
 
 
 def test_lossless_varied_and_repeatable(texts):
