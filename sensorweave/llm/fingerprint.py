@@ -79,6 +79,30 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(a == b, 1.0).otherwise(near)
 
 
+def _low_bits(text: Column) -> Column:
+    """31 bits of a text's hash, by which rows of one id are ordered and split."""
+    return F.shiftrightunsigned(F.xxhash64(text), 33)
+
+
+def _cells(docs: DataFrame, rows_per_bucket: int, most_buckets: int) -> tuple[Column, list[tuple]]:
+    """The cell of a doc_id (-1 for null) and what is known of each: cell, least id, width of its parts, how many, whether by hash.
+
+    Cells are equally wide; one with too many rows is cut again between its own
+    least and largest id, so single ids far off don't matter, and a cell of one
+    id by its texts' hashes.
+    """
+    n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
+    rows_per_bucket = max(rows_per_bucket, -(-n // most_buckets))
+    wide = max(1.0, float((high or 0) - (low or 0) + 1) / max(1, min(most_buckets, n // rows_per_bucket)))
+    cell = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low or 0)) / wide).cast("long"), F.lit(-1).cast("long"))
+    grid = []
+    for r in docs.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).collect():
+        parts = max(1, -(-r["n"] // rows_per_bucket)) if r["n"] > 2 * rows_per_bucket else 1
+        first, last = r["low"] or 0, r["high"] or 0
+        grid.append((r["cell"], first, -(-(last - first + 1) // parts), parts, parts > 1 and first == last))
+    return cell, grid
+
+
 def with_next(docs: DataFrame, rows_per_bucket: int = 256, most_buckets: int = 65536) -> DataFrame:
     """doc_id, text, its fingerprint ``f``, and the ``next`` text in descending doc_id with its ``h``.
 
@@ -86,23 +110,32 @@ def with_next(docs: DataFrame, rows_per_bucket: int = 256, most_buckets: int = 6
 
     Rows go to ranges of doc_id, and the first row of each range also to the
     range before it, so one shuffle of the texts serves and no task sees more
-    than a range.  The table of ranges that the driver and every task hold has
-    ``most_buckets`` + 1 rows at most.  Null ids come last; rows of one id go by
-    their text.  A null text is an empty one.
+    than a range.  Ranges are cut where the rows are, one id's or null's rows by
+    their texts' hashes; only equal rows stay together.  The tables that the
+    driver and every task hold have some 3 * ``most_buckets`` rows at most.  Null
+    ids come last; rows of one id go by their texts' hash.  A null text is an
+    empty one.
     """
-    df = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("f", fingerprint(F.col("text")))
-    ids = docs.select("doc_id")
-    n, low, high = ids.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
-    buckets = max(1, min(most_buckets, n // rows_per_bucket))
-    width = max(1.0, float((high or 0) - (low or 0) + 1) / buckets)
-    bucket = F.coalesce(F.floor((F.col("doc_id").cast("double") - float(low or 0)) / width).cast("long"), F.lit(-1).cast("long"))
-    ranges = sorted(((r["bucket"], r["top"]) for r in ids.groupBy(bucket.alias("bucket")).agg(F.max("doc_id").alias("top")).collect()), reverse=True)
-    rows = [(b, top, ranges[i - 1][0]) for i, (b, top) in enumerate(ranges)]
-    tops = docs.sparkSession.createDataFrame(rows, "bucket long, top long, before long")
-    df = df.withColumn("bucket", bucket).join(F.broadcast(tops), "bucket")
-    places = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(F.struct("bucket", F.lit(False).alias("copy")), F.struct(F.col("before").alias("bucket"), F.lit(True).alias("copy"))))
-    df = df.select("doc_id", "text", "f", F.explode(F.coalesce(places, F.array(F.struct("bucket", F.lit(False).alias("copy"))))).alias("at")).select("doc_id", "text", "f", "at.*")
-    order = Window.partitionBy("bucket").orderBy("copy", F.desc_nulls_last("doc_id"), "text")
+    df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    cell, grid = _cells(df.select("doc_id"), rows_per_bucket, most_buckets)
+    spark = docs.sparkSession
+    table = spark.createDataFrame(grid, "cell long, low long, width long, parts long, by_hash boolean")
+    hashed = any(by_hash for *_, by_hash in grid)
+    bits = _low_bits(F.col("text")) if hashed else F.lit(0).cast("long")
+    inside = F.floor((F.col("doc_id") - F.col("low")) / F.col("width"))
+    part = F.when(F.col("by_hash"), F.floor(F.col("bits") * F.col("parts") / (1 << 31))).otherwise(F.coalesce(inside, F.lit(0))).cast("long")
+    place = lambda d: d.withColumn("cell", cell).join(F.broadcast(table), "cell").withColumn("part", part)
+    first = F.max(F.struct("doc_id", (-F.col("bits")).alias("bits")))  # null ids stand alone in their cell
+    found = place(df.select("doc_id", bits.alias("bits"))).groupBy("cell", "part", "by_hash").agg(first.alias("first")).collect()
+    found.sort(key=lambda r: (-r["cell"], r["part"] if r["by_hash"] else -r["part"]))
+    rows = [(r["cell"], r["part"], r["first"]["doc_id"], -r["first"]["bits"], *(found[i - 1][c] for c in ("cell", "part"))) for i, r in enumerate(found)]
+    tops = spark.createDataFrame(rows, "cell long, part long, top long, top_bits long, before_cell long, before_part long")
+    df = place(df.withColumn("f", fingerprint(F.col("text"))).withColumn("bits", bits)).join(F.broadcast(tops), ["cell", "part"])
+    here = F.struct("cell", "part", F.lit(False).alias("copy"))
+    there = F.struct(F.col("before_cell").alias("cell"), F.col("before_part").alias("part"), F.lit(True).alias("copy"))
+    is_first = F.col("doc_id").eqNullSafe(F.col("top")) & (F.col("bits") == F.col("top_bits"))
+    df = df.select("doc_id", "text", "f", "bits", F.explode(F.when(is_first, F.array(here, there)).otherwise(F.array(here))).alias("at")).select("doc_id", "text", "f", "bits", "at.*")
+    order = Window.partitionBy("cell", "part").orderBy("copy", F.desc_nulls_last("doc_id"), "bits", "text")
     df = df.withColumn("next", F.lead("text").over(order)).withColumn("h", F.lead("f").over(order))
     return df.where("NOT copy").select("doc_id", "text", "f", "next", "h")
 

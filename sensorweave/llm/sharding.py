@@ -24,7 +24,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SIGN = np.uint64(1 << 63)
+#: A frequent key's rows are ranked in so many parts at most.
+PARTS = 4096
 
 
 @dataclass(frozen=True)
@@ -108,20 +109,27 @@ def place(ring: Ring, counts: np.ndarray, load_factor: float | None) -> list[tup
     return sorted(out)
 
 
-def ring_shards(df: DataFrame, key: str, ring: Ring, load_factor: float | None = None, ties: list[Column] | None = None) -> DataFrame:
+def ring_shards(df: DataFrame, key: str, ring: Ring, load_factor: float | None = None, ties: list[Column] | None = None, most_rows: int = 100_000) -> DataFrame:
     """``df`` with columns ``shard`` int and ``slot`` long (gapless from 0 in a shard).
 
     ``load_factor`` None makes shard counts differ by one at most; a larger one
     keeps more keys at home.  Null keys are one key.  Rows with equal keys are
     told apart by ``ties``; equal rows are interchangeable.  An empty table
-    gives an empty table.  Existing columns ``shard`` and ``slot`` are replaced.
+    gives an empty table.  Existing columns ``shard`` and ``slot`` are replaced,
+    all others pass through, whatever they are called.
+
+    A cell of more than ``most_rows`` rows, and of four times the mean, holds a
+    frequent key: its rows are ranked in parts, by their ties' hash.
     """
 
     @F.pandas_udf("int")
     def cell(p: pd.Series) -> pd.Series:
         return pd.Series(ring.cell_of(unsigned(p.to_numpy())).astype("int32"))
 
-    counted = df.select(cell(position(F.col(key))).alias("cell")).groupBy("cell").count().toPandas()
+    ties = ties or []
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), position(F.col(key)).alias("position"), *[t.alias(f"tie{i}") for i, t in enumerate(ties)])
+    rows = rows.withColumn("cell", cell("position"))
+    counted = rows.groupBy("cell").count().toPandas()
     counts = np.zeros(len(ring.cuts()) + 1, np.int64)
     counts[counted["cell"].to_numpy(dtype=np.int64)] = counted["count"].to_numpy(dtype=np.int64)
     base = np.concatenate(([0], np.cumsum(counts)))
@@ -129,16 +137,33 @@ def ring_shards(df: DataFrame, key: str, ring: Ring, load_factor: float | None =
     starts = np.array([s for s, _, _, _ in spans], np.int64)
     shard_of = np.array([s for _, _, s, _ in spans], np.int64)
     slot_of = np.array([s for _, _, _, s in spans], np.int64)
+    hot = [(int(c), int(min(PARTS, -(-n // most_rows)))) for c, n in enumerate(counts.tolist()) if n > max(most_rows, 4 * counts.mean())]
+    first = {(c, 0): int(base[c]) for c in range(len(counts))}
+    if hot:
+        parts = F.create_map(*[F.lit(x) for pair in hot for x in pair])
+        bits = F.shiftrightunsigned(F.xxhash64(*[f"tie{i}" for i in range(len(ties))], F.lit("part")), 33)
+        rows = rows.withColumn("part", F.coalesce(F.floor(bits * F.try_element_at(parts, F.col("cell")) / (1 << 31)), F.lit(0)).cast("int"))
+        sizes = {(r["cell"], r["part"]): r["count"] for r in rows.where(F.col("cell").isin([c for c, _ in hot])).groupBy("cell", "part").count().collect()}
+        for c, n in hot:
+            at = int(base[c])
+            for k in range(n):
+                first[c, k] = at
+                at += sizes.get((c, k), 0)
+    else:
+        rows = rows.withColumn("part", F.lit(0))
+    numbers = np.array(sorted(c * PARTS + k for c, k in first), np.int64)
+    offsets = np.array([first[divmod(int(x), PARTS)] for x in numbers], np.int64)
 
     @F.pandas_udf("shard int, slot long")
-    def placed(c: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        number = base[c.to_numpy()] + rank.to_numpy() - 1
+    def placed(c: pd.Series, part: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        number = offsets[np.searchsorted(numbers, c.to_numpy().astype(np.int64) * PARTS + part.to_numpy())] + rank.to_numpy() - 1
         at = np.searchsorted(starts, number, side="right") - 1
         return pd.DataFrame({"shard": shard_of[at].astype("int32"), "slot": slot_of[at] + number - starts[at]})
 
-    place_in = Window.partitionBy("__cell").orderBy("__position", *(ties or []))
-    ranked = df.withColumn("__position", position(F.col(key))).withColumn("__cell", cell("__position")).withColumn("__rank", F.row_number().over(place_in))
-    return ranked.withColumn("__placed", placed("__cell", "__rank")).drop("shard", "slot").select("*", "__placed.shard", "__placed.slot").drop("__position", "__cell", "__rank", "__placed")
+    place_in = Window.partitionBy("cell", "part").orderBy("position", *[f"tie{i}" for i in range(len(ties))])
+    ranked = rows.withColumn("rank", F.row_number().over(place_in)).select("row", placed("cell", "part", "rank").alias("placed"))
+    kept = [F.col("row")[c].alias(c) for c in df.columns if c not in ("shard", "slot")]
+    return ranked.select(*kept, F.col("placed.shard").alias("shard"), F.col("placed.slot").alias("slot"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 16) -> DataFrame:

@@ -63,6 +63,23 @@ def test_buckets_do_not_matter(documents, texts):
         assert out == {i: texts[ids[(k + 1) % len(ids)]] for k, i in enumerate(ids)}
 
 
+def test_far_ids_and_frequent_ones(spark):
+    """One id far off, a third of the rows with one id, a third without: no bucket holds many rows, and each row has its next."""
+    rows = [(i, f"text {i}") for i in range(500)] + [(2**61, "far"), (-(2**60), "below")] + [(77, f"same id {i}") for i in range(500)] + [(None, f"no id {i}") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    out = fingerprint.with_next(docs, rows_per_bucket=16)
+    got = {(r.doc_id, r.text): r.next for r in out.collect()}
+    assert len(got) == len(rows) == len(set(got.values()))
+    at, seen = (2**61, "far"), []
+    by_text = {t: (i, t) for i, t in rows}
+    for _ in rows:
+        seen.append(at[0])
+        at = by_text[got[at]]
+    assert at == (2**61, "far") and seen == sorted((i for i, _ in rows), key=lambda i: (i is None, -(i or 0)))
+    _, grid = fingerprint._cells(docs.select("doc_id"), 16, 65536)
+    assert sum(parts for *_, parts, _ in grid) > 60
+
+
 def test_odd_rows(odd, none, odd_rows, spark):
     order = sorted(odd_rows, key=lambda r: (r[0] is None, -(r[0] or 0), (r[1] or "").encode()))
     check(fingerprint.fingerprint_report(odd).collect(), order)

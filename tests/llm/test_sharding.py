@@ -3,6 +3,8 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from conftest_llm import table
+from pyspark.sql import functions as F
 
 from sensorweave.llm import sharding
 from sensorweave.llm.sharding import Ring, capacities, place
@@ -84,6 +86,23 @@ def test_odd_rows(odd, none, odd_rows):
     assert sharding.shard_documents(none).count() == 0
 
 
+def test_frequent_keys_are_ranked_in_parts(spark):
+    """A third of the rows without a key, a third with one."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i % 400}") for i in range(3000)]
+    df = table(spark, rows).repartition(4)
+    ties = [F.length("text"), F.crc32(F.col("text").cast("binary"))]
+    for ring, load in ((Ring(5, 8, 16), None), (Ring(5, 8, 16), 1.3)):
+        for most in (100, 10**6):
+            out = sharding.ring_shards(df, "doc_id", ring, load, ties, most).collect()
+            assert sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in out) == sorted((i is None, i or 0, t) for i, t in rows)
+            counts = Counter(r.shard for r in out)
+            assert max(counts.values()) <= (1.3 if load else 1) * 600 + 1
+            assert all(sorted(r.slot for r in out if r.shard == s) == list(range(n)) for s, n in counts.items())
+            assert all(r["__cell"] == "my __cell" and r.bucket == 2 for r in out)
+    plan = sharding.ring_shards(df, "doc_id", Ring(5, 8, 16), None, ties, 100)
+    assert plan.select("shard").distinct().count() == 5
+
+
 def test_placement_does_not_depend_on_partitions(documents):
     a = sharding.shard_documents(documents).collect()
     b = sharding.shard_documents(documents.repartition(7)).collect()
