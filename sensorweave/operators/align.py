@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .windows import cell_of, with_global_row_number
+from .windows import cell_of, with_global_row_number, with_row_number
 
 DEGRADED_MS = 10.0
 #: Recordings are cut into buckets of a minute where nothing else is asked for.
@@ -82,21 +82,26 @@ def _bucketed(left: DataFrame, right: DataFrame, width: int, by: list[str], ts:
     return near.select(*by, "__l", F.coalesce("__before", "__carried_before").alias("__before"), F.coalesce("__after", "__carried_after").alias("__after"))
 
 
-def asof_buffered(left: DataFrame, right: DataFrame, right_cols: list[str], mode: str, rate_ratio: float = 1.0, cap: int = 256, by: list[str] = [], ts: str = "timestamp_ns", left_idx: str = "sequence_id", right_idx: str = "idx", width: int = MINUTE_NS, limits: tuple[str, str] | None = None) -> DataFrame:  # noqa: B006
+def asof_buffered(left: DataFrame, right: DataFrame, right_cols: list[str], mode: str, rate_ratio: float = 1.0, cap: int = 256, by: list[str] = [], ts: str = "timestamp_ns", left_idx: str = "sequence_id", right_idx: str = "idx", width: int | None = None, limits: tuple[str, str] | None = None) -> DataFrame:  # noqa: B006
     """Alignment against a bounded FIFO of right rows, as a clamp of row numbers.
 
     ``replay``: before the i-th anchor floor((i + 1) * rate_ratio) right rows have
     been pushed.  ``live``: one with the first anchor and with every ``rate_ratio``-th
     after it.  ``bench``: all of them have.  The newest ``cap`` (at least one)
-    are visible; ordered input makes them a range [lo, hi) of row numbers.  Rows
-    are numbered and aligned by buckets of ``width``.  ``limits`` names two of the
+    are visible; ordered input makes them a range [lo, hi) of row numbers.  With
+    ``width``, or without keys, rows are numbered and aligned by buckets of so much
+    time, else key by key, which needs no shuffle but by key.  ``limits`` names two of the
     anchors' columns that hold each one's rate ratio and cap.
     """
     if mode not in ("replay", "live", "bench"):
         raise ValueError(mode)
-    numbered = with_global_row_number(right, ts, width, "__n", by, [right_idx]).withColumn("__n", F.col("__n") - 1)
-    anchors = with_global_row_number(left, ts, width, "__row", by, [left_idx])
-    near = _bucketed(anchors, numbered, width, by, ts, left_idx, right_idx, ["__n"])
+    number = lambda df, name, idx: with_row_number(df, ts, by, name, [idx]) if width is None and by else with_global_row_number(df, ts, width or MINUTE_NS, name, by, [idx])
+    numbered = number(right, "__n", right_idx).withColumn("__n", F.col("__n") - 1)
+    anchors = number(left, "__row", left_idx)
+    if width is None and by:
+        near = _neighbours(anchors, numbered, by, ts, left_idx, right_idx, ["__n"])
+    else:
+        near = _bucketed(anchors, numbered, width or MINUTE_NS, by, ts, left_idx, right_idx, ["__n"])
     ratio, most = (F.col("__l")[c] for c in limits) if limits else (F.lit(rate_ratio), F.lit(cap))
     most = F.greatest(most.cast("bigint"), F.lit(1))
     total = numbered.groupBy(*by).agg(F.count(F.lit(1)).alias("__total"))

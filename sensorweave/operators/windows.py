@@ -11,9 +11,9 @@ def cell_of(order: str, width: int) -> Column:
     return F.coalesce(F.floor(F.col(order) / width).cast("bigint"), F.lit(-(1 << 63)).cast("bigint"))
 
 
-def with_row_number(df: DataFrame, order: str, by: list[str] = [], name: str = "rn") -> DataFrame:  # noqa: B006
+def with_row_number(df: DataFrame, order: str, by: list[str] = [], name: str = "rn", ties: list[str] = []) -> DataFrame:  # noqa: B006
     """1-based row numbers within ``by``.  Without keys, or for few long ones, use :func:`with_global_row_number`."""
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order)).cast("bigint"))
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(order, *ties)).cast("bigint"))
 
 
 def with_global_row_number(df: DataFrame, order: str, width: int, name: str = "rn", by: list[str] = [], ties: list[str] = []) -> DataFrame:  # noqa: B006

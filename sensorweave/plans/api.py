@@ -46,12 +46,12 @@ def replay(spark: SparkSession, path: str, model: str | None = None, mode: str =
     eeg, gaze = scans(spark, path, limit, mode)
     by = ["recording"]
     if mode == "nearest":
-        aligned = align.asof_nearest_bucketed(eeg, gaze, GAZE, align.MINUTE_NS, by)
+        aligned = align.asof_nearest(eeg, gaze, GAZE, by)
     else:
         aligned = align.asof_buffered(eeg, gaze, GAZE, mode, by=by, limits=("ratio", "cap"))
     if not with_model:
         return packets.fused_packets(aligned, by=by, size=size, stride=stride, rate_column="rate_hz")
-    numbered = windows.with_global_row_number(aligned, "timestamp_ns", align.MINUTE_NS, by=by, ties=["sequence_id"])
+    numbered = windows.with_row_number(aligned, "timestamp_ns", by, ties=["sequence_id"])
     got = predictions(numbered, model, size, stride, by).withColumnRenamed("window_end", "rn")
     joined = numbered.join(got, [*by, "rn"], "left")
     known = F.when(F.col("prediction.classification").isNotNull(), F.col("prediction"))
@@ -87,7 +87,7 @@ def replay_bench(spark: SparkSession, path: str, limit: int = 0) -> dict:
     began = time.perf_counter()
     eeg, gaze = scans(spark, path, limit, "bench")
     aligned = align.asof_buffered(eeg, gaze, GAZE, "bench", by=["recording"], limits=("ratio", "cap"))
-    numbered = windows.with_global_row_number(align.with_degraded(aligned), "timestamp_ns", align.MINUTE_NS, by=["recording"], ties=["sequence_id"])
+    numbered = windows.with_row_number(align.with_degraded(aligned), "timestamp_ns", ["recording"], ties=["sequence_id"])
     sampled = F.when(F.pmod("rn", F.lit(100)) == 0, F.col("channels"))
     rows = numbered.withColumn("features", signal.features_arrow(None)(sampled, "rate_hz")).persist()
     offset = F.abs("alignment_offset_ns")

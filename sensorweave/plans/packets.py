@@ -9,14 +9,18 @@ from ..functions import infer, signal
 from ..operators import align, windows
 
 
-def fused_packets(aligned: DataFrame, rate_hz: float = 256.0, features: bool = True, size: int = 500, stride: int = 100, by: list[str] = [], prediction: Column | None = None, waiting_class: str = "accumulating", width_ns: int = align.MINUTE_NS, rate_column: str | None = None) -> DataFrame:  # noqa: B006
+def fused_packets(aligned: DataFrame, rate_hz: float = 256.0, features: bool = True, size: int = 500, stride: int = 100, by: list[str] = [], prediction: Column | None = None, waiting_class: str = "accumulating", width_ns: int | None = None, rate_column: str | None = None) -> DataFrame:  # noqa: B006
     """Packets of an alignment result (``channels``, ``x``, ``y``, ``pupil_diameter``), numbered over emitted rows.
 
     A row is ready for prediction from ``size`` rows on, every ``stride`` rows.
-    Rows are numbered by buckets of ``width_ns``.  ``rate_column`` holds each
-    row's sampling rate where recordings differ.
+    Rows are numbered by buckets of ``width_ns`` (a minute without keys) or, with
+    keys alone, key by key.  ``rate_column`` holds each row's sampling rate where
+    recordings differ.
     """
-    df = windows.with_global_row_number(aligned, "timestamp_ns", width_ns, "__rn", by, ["sequence_id"])
+    if by and width_ns is None:
+        df = windows.with_row_number(aligned, "timestamp_ns", by, "__rn", ["sequence_id"])
+    else:
+        df = windows.with_global_row_number(aligned, "timestamp_ns", width_ns or align.MINUTE_NS, "__rn", by, ["sequence_id"])
     ready = (F.col("__rn") >= size) & (F.pmod(F.col("__rn"), F.lit(stride)) == 0)
     got = infer.with_fallback(ready, prediction if prediction is not None else infer.stub_prediction(), waiting_class)
     vector = signal.features_arrow(None if rate_column else rate_hz)("channels", *([rate_column] if rate_column else [])).cast("array<float>") if features else F.array().cast("array<float>")
