@@ -442,7 +442,7 @@ l AS (SELECT recv - send AS ns FROM v WHERE NOT dropped),
 h AS (SELECT length(bin(ns)) - 1 AS bucket, count(*) AS n FROM l GROUP BY 1),
 r AS (SELECT *, sum(n) OVER (ORDER BY bucket) AS run, sum(n) OVER () AS total FROM h),
 q AS (SELECT p, 1::BIGINT << min(bucket)::INT AS ns FROM r, (VALUES {', '.join(f'({p})' for p in reports.PERCENTS)}) w(p) WHERE run >= greatest(1, ceil(total * p / 100)) GROUP BY p),
-j AS (SELECT greatest(recv - lag(recv) OVER (ORDER BY i), 0) AS step FROM v WHERE NOT dropped)
+j AS (SELECT CASE WHEN d IS NOT NULL THEN greatest(d, 0) END AS step FROM (SELECT recv - lag(recv) OVER (ORDER BY i) AS d FROM v WHERE NOT dropped))
 SELECT sent::BIGINT AS packets_sent, sent::BIGINT AS packets_received, lost::BIGINT AS packets_dropped, hit::BIGINT AS packets_corrupted, 0::BIGINT AS decode_errors, ms::DOUBLE AS duration_ms, pq.*,
   (SELECT (sum(ns) // count(*))::BIGINT FROM l) AS latency_mean_ns, (SELECT min(ns)::BIGINT FROM l) AS latency_min_ns, (SELECT max(ns)::BIGINT FROM l) AS latency_max_ns,
   (SELECT round(stddev_samp(step), 4) FROM j) AS jitter_std_dev_ns, (SELECT round(avg(step), 4) FROM j) AS mean_interval_ns,
@@ -600,9 +600,9 @@ def corec_header(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(_clamped("(SELECT count(*) FROM q)", "greatest(0, hi - 256)").rpartition("SELECT sequence_id, t AS")[0] + """, m AS (SELECT *, abs(g - t) AS off FROM c WHERE rk = 1),
-h AS (SELECT CASE WHEN off = 0 THEN 0 ELSE length(bin(off)) - 1 END AS bucket, count(*) AS n FROM m GROUP BY 1),
-r AS (SELECT *, sum(n) OVER (ORDER BY bucket) AS run, sum(n) OVER () AS total FROM h),
-w AS (SELECT p, (1::BIGINT << min(bucket)::INT) AS ns FROM r, (VALUES (50.0), (90.0), (99.0)) v(p) WHERE run >= greatest(1, ceil(total * p / 100)) GROUP BY p)
+buckets AS (SELECT CASE WHEN off = 0 THEN 0 ELSE length(bin(off)) - 1 END AS bucket, count(*) AS n FROM m GROUP BY 1),
+run AS (SELECT *, sum(n) OVER (ORDER BY bucket) AS run, sum(n) OVER () AS total FROM buckets),
+w AS (SELECT p, (1::BIGINT << min(bucket)::INT) AS ns FROM run, (VALUES (50.0), (90.0), (99.0)) v(p) WHERE run >= greatest(1, ceil(total * p / 100)) GROUP BY p)
 SELECT count(*)::BIGINT AS fused, (count(*) // 100)::BIGINT AS features, greatest(0, count(*) // 100 - 4)::BIGINT AS inferences, round(avg((off > 10000000)::INT) * 100, 8) AS degraded_percent, round(avg(off), 2) AS mean_alignment_ns,
   (SELECT ns FROM w WHERE p = 50) AS offset_p50_ns, (SELECT ns FROM w WHERE p = 90) AS offset_p90_ns, (SELECT ns FROM w WHERE p = 99) AS offset_p99_ns FROM m""")
 def replay_bench(spark: SparkSession, d: str) -> DataFrame:
