@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import written
+from .shared import files_for, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -18,10 +18,11 @@ def components(edges: DataFrame) -> DataFrame:
     Edges with a null end are ignored; without edges the result is empty.
     """
     left = written(edges.select("a", "b").where("a <> b").distinct(), "edges")
+    few = files_for(left)  # what follows is no larger
     labels = None
     while True:
         ends = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        joined = written(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")), "parents")
+        joined = written(ends.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("p")).coalesce(few), "parents")
         if labels is None:
             labels = joined.select(F.col("a").alias("node"), F.col("p").alias("label"))
         else:
@@ -29,6 +30,6 @@ def components(edges: DataFrame) -> DataFrame:
         to_a = joined.select("a", F.col("p").alias("new_a"))
         to_b = joined.select(F.col("a").alias("b"), F.col("p").alias("new_b"))
         moved = left.join(to_a, "a").join(to_b, "b").select(F.col("new_a").alias("a"), F.col("new_b").alias("b"))
-        left = written(moved.where("a <> b").distinct(), "edges")
+        left = written(moved.where("a <> b").distinct().coalesce(few), "edges")
         if left.isEmpty():
-            return written(labels, "components")
+            return written(labels.coalesce(few), "components")

@@ -45,6 +45,10 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def grown(a: np.ndarray, n: int) -> np.ndarray:
+    return a if n <= len(a) else np.concatenate([a, np.zeros(max(n, 2 * len(a)) - len(a), a.dtype)])
+
+
 class Pieces:
     """A merge model; ids are those of the model file."""
 
@@ -102,7 +106,7 @@ class Pieces:
     def _forget(self) -> None:
         """Words without dropout: their numbers, ids, hashes, and the places of the candidates that their agendas take."""
         self.number: dict[str, int] = {}
-        self.plain: list[bytes] = []
+        self.ids, self.n_ids, self.start, self.size_of = np.empty(1 << 14, np.uint32), 0, np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.base, self.first_place, self.places = np.empty(0, np.uint64), np.zeros(1, np.int64), np.empty(0, np.uint64)
 
     @staticmethod
@@ -255,8 +259,19 @@ class Pieces:
         self.places = np.concatenate([self.places, np.concatenate(places)[np.argsort(owner, kind="stable")]])
         self.first_place = np.concatenate([self.first_place, self.first_place[-1] + np.cumsum(np.bincount(owner, minlength=len(new)))])
         self.base = np.concatenate([self.base, self.word_hashes(new)])
-        self.number.update((w, len(self.plain) + i) for i, w in enumerate(new))
-        self.plain.extend(map(ids.__getitem__, new))
+        known = len(self.number)
+        self.number.update(zip(new, range(known, known + len(new)), strict=True))
+        self._keep(known, list(map(ids.__getitem__, new)))
+
+    def _keep(self, first: int, ids: list[bytes]) -> None:
+        """Put ids at the end of the flat array, as those of the entries from ``first`` on."""
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        self.start, self.size_of, self.ids = (grown(a, n) for a, n in ((self.start, first + len(ids)), (self.size_of, first + len(ids)), (self.ids, self.n_ids + len(flat))))
+        self.start[first : first + len(ids)] = self.n_ids + np.cumsum(sizes) - sizes
+        self.size_of[first : first + len(ids)] = sizes
+        self.ids[self.n_ids : self.n_ids + len(flat)] = flat
+        self.n_ids += len(flat)
 
     @staticmethod
     def words(text: str) -> list[str]:
@@ -282,9 +297,9 @@ class Pieces:
         if new := [w for w in dict.fromkeys(flat) if w not in self.number]:
             self._learn(new)
         number = np.fromiter(map(self.number.__getitem__, flat), np.int64, len(flat))
-        parts = list(map(self.plain.__getitem__, number.tolist()))
+        lengths = np.array([len(words) for words in cut])
+        held, entry = self.n_ids, number.copy()
         if self.rate > 0:
-            lengths = np.array([len(words) for words in cut])
             places = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
             variants = mixed(np.repeat(mixed(np.array(keys, np.uint64) + np.uint64(1)), lengths) + places.astype(np.uint64))
             drops = mixed(self.base[number] ^ mixed(variants))
@@ -294,14 +309,19 @@ class Pieces:
             hit = np.unique(own[mixed(drops[own] ^ self.places[at]) < self.threshold])
             sizes = np.fromiter((len(flat[i]) for i in hit.tolist()), np.int64, len(hit))
             short = hit[np.argsort(sizes, kind="stable")][: int((sizes <= _LONG).sum())].tolist()
-            for i in hit[sizes > _LONG].tolist():
-                parts[i] = self._bytes(self.one_word(flat[i], int(variants[i])))
+            far = hit[sizes > _LONG].tolist()
+            anew = [self._bytes(self.one_word(flat[i], int(variants[i]))) for i in far]
             for lo in range(0, len(short), 4096):
                 some = short[lo : lo + 4096]
-                for i, ids in zip(some, self.many_words([flat[i] for i in some], drops[some]), strict=True):
-                    parts[i] = ids
-        ends = np.cumsum([len(words) for words in cut]).tolist()
-        return [b"".join(parts[end - len(words) : end]) for words, end in zip(cut, ends, strict=True)]
+                anew += self.many_words([flat[i] for i in some], drops[some])
+            entry[far + short] = np.arange(len(self.number), len(self.number) + len(anew))
+            self._keep(len(self.number), anew)  # until the next call
+        size = self.size_of[entry]
+        begin = np.cumsum(size) - size
+        whole = self.ids[np.repeat(self.start[entry] - begin, size) + np.arange(int(size.sum()))]
+        self.n_ids = held
+        ends = np.concatenate([[0], np.cumsum(size)])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        return [whole[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)]
 
     def encode(self, text: str, key: int = 0) -> list[int]:
         return np.frombuffer(self.encode_many([key], [text])[0], "<u4").tolist()

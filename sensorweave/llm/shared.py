@@ -70,6 +70,15 @@ def modest_batches(spark: SparkSession, most: int = 4 << 20) -> None:
         spark.conf.set(key, 1024)
 
 
+def files_for(df: DataFrame, each: int = 16 << 20, least: int = 16) -> int:
+    """In how many files a table of the size of ``df``, a written one, is written again."""
+    spark, size = df.sparkSession, 0
+    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        size += target.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(target).getLength()
+    return max(least, -(-size // each))
+
+
 @contextmanager
 def _shuffles_removed(spark: SparkSession) -> Iterator[None]:
     """Shuffle files of what is run inside go when it ends: what is written needs them no more."""
