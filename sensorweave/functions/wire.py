@@ -12,6 +12,8 @@ import decimal
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
@@ -111,10 +113,21 @@ def encode_packet(timestamp_ns: int, channel_count: int, samples: np.ndarray, se
 
 
 @pandas_udf(BinaryType())
-def encode_neural_packet(timestamp_ns: pd.Series, channel_count: pd.Series, samples: pd.Series, sequence_id: pd.Series) -> pd.Series:
+def _encoded(timestamp_ns: pd.Series, channel_count: pd.Series, samples: pd.Series, sequence_id: pd.Series) -> pd.Series:
     return pd.Series([encode_packet(int(t), int(c), s, int(q)) for t, c, s, q in zip(timestamp_ns, channel_count, samples, sequence_id, strict=True)])
 
 
+def encode_neural_packet(timestamp_ns: Column | str, channel_count: Column | str, samples: Column | str, sequence_id: Column | str) -> Column:
+    """The packet of each row, null where a number is null; null samples are none.
+
+    The encoder sees no nulls, which would make a batch's whole numbers inexact.
+    """
+    t, n, s, q = (F.col(c) if isinstance(c, str) else c for c in (timestamp_ns, channel_count, samples, sequence_id))
+    whole = lambda c: F.coalesce(c.cast("bigint"), F.lit(0).cast("bigint"))
+    packet = _encoded(whole(t), whole(n), F.coalesce(s, F.array().cast("array<float>")), whole(q))
+    return F.when(t.isNotNull() & n.isNotNull() & q.isNotNull(), packet)
+
+
 @pandas_udf(NEURAL_PACKET)
 def decode_neural_packet(payload: pd.Series) -> pd.DataFrame:
     """Every row gets values or an error, never an exception; a null payload is an empty one."""

@@ -54,3 +54,12 @@ def test_unsigned_round_trip(spark):
     p = spark.createDataFrame([(bytearray(buf),)], "b binary").select(wire.decode_neural_packet("b").alias("p")).first().p
     assert p.timestamp_ns == decimal.Decimal(2**64 - 1)
     assert (p.channel_count, p.sequence_id, len(p.samples)) == (2**32 - 1, 2**32 - 1, 32_000)
+
+
+def test_nulls_have_no_packet_and_change_no_other(spark):
+    big = 2**62 + 1
+    rows = [(1, big, 2, [1.0], 7), (2, None, 2, [1.0], 7), (3, big, None, [1.0], 7), (4, big, 2, None, 7), (5, big, 2, [1.0], None)]
+    df = spark.createDataFrame(rows, "i long, t long, n long, s array<float>, q long").coalesce(1)
+    got = {r.i: r.b for r in df.select("i", wire.encode_neural_packet("t", "n", "s", "q").alias("b")).collect()}
+    assert bytes(got[1]) == wire.encode_packet(big, 2, [1.0], 7) and bytes(got[4]) == wire.encode_packet(big, 2, [], 7)
+    assert got[2] is got[3] is got[5] is None
